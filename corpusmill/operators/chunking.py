@@ -410,13 +410,19 @@ def knowledge_base_sections(files: DataFrame) -> DataFrame:
 def token_windows(tokens: Column, size: int, overlap: int = 0) -> Column:
     """``array<struct<start,tokens>>`` windows; a shorter tail window is kept."""
     stride = max(1, int(size) - int(overlap))
-    return F.when(
-        F.size(tokens) > 0,
-        F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / stride).cast("int")),
-            lambda i: F.struct((i * stride).alias("start"), F.slice(tokens, i * stride + 1, F.lit(size)).alias("tokens")),
-        ),
-    ).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("tokens"))))
+    empty = F.array(F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("tokens")))
+    # let: inside the lambda the token array must be a value, not an expression
+    # that is evaluated again for every window.
+    return let(
+        tokens,
+        lambda toks: F.when(
+            F.size(toks) > 0,
+            F.transform(
+                F.sequence(F.lit(0), F.floor((F.size(toks) - 1) / stride).cast("int")),
+                lambda i: F.struct((i * stride).alias("start"), F.slice(toks, i * stride + 1, F.lit(size)).alias("tokens")),
+            ),
+        ).otherwise(empty),
+    )
 
 
 def hard_chunks_with_spans(df: DataFrame, key: str, text: str, size: int = 600) -> DataFrame:
