@@ -10,10 +10,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from corpusmill.functions.text import clean_spaces, estimate_tokens, let, normalize_extracted, sentence_units, strip, text_of, token_list
 
+WINDOWS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 STRATEGIES = ("boundary", "hard", "dynamic")
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -50,7 +52,7 @@ def split_hard(text: Column, size: int) -> Column:
     )
 
 
-@F.pandas_udf("array<struct<first:int,last:int>>")
+@F.pandas_udf(WINDOWS)
 def _pack(counts: pd.Series, budgets: pd.Series, overlaps: pd.Series) -> pd.Series:
     """Windows ``[first, last)`` over sentences filling a token budget greedily."""
 
@@ -76,7 +78,7 @@ def _pack(counts: pd.Series, budgets: pd.Series, overlaps: pd.Series) -> pd.Seri
     return pd.Series([windows(c, b, o) for c, b, o in zip(counts, budgets, overlaps)])
 
 
-@F.pandas_udf("array<struct<first:int,last:int>>")
+@F.pandas_udf(WINDOWS)
 def _boundary(texts: pd.Series, sizes: pd.Series, strides: pd.Series) -> pd.Series:
     """Character windows pulled back to a line or sentence end in their last third."""
 
