@@ -112,37 +112,71 @@ def span_metrics(retrieved: DataFrame, gold: DataFrame, union: bool = False) ->
     )
 
 
-def _ranked_pick(values: DataFrame, value: str, keys: tuple[str, ...], position: Column, out: str) -> DataFrame:
-    """Value at a 1-based ``position`` (a function of ``_n``) inside each group.
+BUCKETS = 256
 
-    Equal values are counted before anything is ordered, so even one group that
-    holds most rows only sorts its distinct values.
+
+def order_statistics(values: DataFrame, value: str, keys: tuple[str, ...], positions: dict[str, Column]) -> DataFrame:
+    """Exact elements at 1-based positions of each sorted group, as columns.
+
+    ``positions`` maps an output name to a Column over ``n``, the group size. No
+    group is ever sorted as a whole: equal values are counted first, approximate
+    quantiles cut the value range into buckets, exact bucket counts locate the
+    bucket of each position, and only that bucket is ordered. One group may
+    hold most of the rows.
     """
-    counted = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    order = W.partitionBy(*keys).orderBy(value)
-    n = F.sum("_c").over(W.partitionBy(*keys))
-    marked = counted.withColumn("_n", n).withColumn("_to", F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    picked = marked.filter(F.col("_to") >= position)
-    return picked.groupBy(*keys).agg(F.min(value).alias(out))
+    keys = tuple(keys) or ("_all",)
+    base = values.filter(F.col(value).isNotNull()).withColumn("_all", F.lit(1)) if "_all" in keys else values.filter(F.col(value).isNotNull())
+    counted = base.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    probes = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = base.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.array_distinct(F.percentile_approx(value, probes, 2000)).alias("_cuts")
+    )
+    placed = counted.join(cuts.select(*keys, "_cuts"), list(keys)).withColumn(
+        "_b", F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + (c < F.col(value)).cast("int"))
+    ).drop("_cuts")
+    sizes = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
+    upto = F.sum("_s").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
+    sizes = sizes.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_s")).join(cuts.select(*keys, "n"), list(keys))
+    wanted = F.explode(
+        F.array(*[F.struct(F.lit(name).alias("name"), position.cast("long").alias("p")) for name, position in positions.items()])
+    )
+    located = sizes.withColumn("_w", wanted).filter((F.col("_w.p") > F.col("_from")) & (F.col("_w.p") <= F.col("_to"))).select(
+        *keys, "_b", F.col("_w.name").alias("_name"), (F.col("_w.p") - F.col("_from")).alias("_offset")
+    )
+    rows = placed.join(located, [*keys, "_b"])
+    inside = F.sum("_c").over(
+        W.partitionBy(*keys, "_b", "_name").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    )
+    picked = rows.withColumn("_in", inside).filter(F.col("_in") >= F.col("_offset")).groupBy(*keys, "_name").agg(F.min(value).alias("_v"))
+    out = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in positions])
+    return out.drop("_all")
 
 
 def nearest_round_percentile(values: DataFrame, value: str, keys: tuple[str, ...] = (), p: float = 0.95, out: str = "p95") -> DataFrame:
     """Element at index ``round((n - 1) * p)``, half to even."""
-    return _ranked_pick(values, value, keys, F.bround((F.col("_n") - 1) * p).cast("long") + 1, out)
+    return order_statistics(values, value, keys, {out: F.bround((F.col("n") - 1) * p).cast("long") + 1})
 
 
 def nearest_rank_percentile(values: DataFrame, value: str, keys: tuple[str, ...] = (), p: float = 0.95, out: str = "p95") -> DataFrame:
     """Element at rank ``ceil(p * n)``."""
-    return _ranked_pick(values, value, keys, F.greatest(F.lit(1), F.ceil(F.col("_n") * p)), out)
+    return order_statistics(values, value, keys, {out: F.greatest(F.lit(1), F.ceil(F.col("n") * p))})
 
 
 def latency_summary(values: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
-    """Mean and linear p50 / p95 / p99 per group."""
-    return values.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.avg(value).alias("mean"),
-        *[F.percentile(value, F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.50, 0.95, 0.99)],
-    )
+    """Mean and linearly interpolated p50 / p95 / p99 per group."""
+    points = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
+    positions = {}
+    for name, p in points.items():
+        positions[f"_{name}_lo"] = F.floor((F.col("n") - 1) * p) + 1
+        positions[f"_{name}_hi"] = F.ceil((F.col("n") - 1) * p) + 1
+    ranks = order_statistics(values, value, keys, positions)
+    means = values.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    joined = means.join(ranks, list(keys))
+    outs = []
+    for name, p in points.items():
+        lo, hi, at = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), (F.col("n") - 1) * p
+        outs.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    return joined.select(*keys, "n", "mean", *outs)
 
 
 def breakdown(cases: DataFrame, by: str) -> DataFrame:
