@@ -338,12 +338,14 @@ def strict_citation_gate(answers: DataFrame, contexts: DataFrame) -> DataFrame:
     )
 
 
-def judge_score(score: Column, grounded: Column, contradicts: Column, refused: Column) -> Column:
-    """Judge score with the caps 49 (ungrounded), 59 (refused) and 40 (contradiction)."""
-    value = F.least(F.lit(100.0), F.greatest(F.lit(0.0), score.cast("double")))
-    value = F.when(~grounded, F.least(value, F.lit(49.0))).otherwise(value)
-    value = F.when(refused, F.least(value, F.lit(59.0))).otherwise(value)
-    return F.when(contradicts, F.least(value, F.lit(40.0))).otherwise(value)
+def judge_score(score: Column, contradicts: Column, unsupported: Column, failed_abstention: Column) -> Column:
+    """Judge total under its caps: contradiction 49, critical unsupported claim 59, missed abstention 40."""
+    cap = F.least(
+        F.when(contradicts, 49.0).otherwise(100.0),
+        F.when(unsupported, 59.0).otherwise(100.0),
+        F.when(failed_abstention, 40.0).otherwise(100.0),
+    )
+    return F.least(score.cast("double"), cap)
 
 
 def dimension_scores(given: DataFrame, rubric: DataFrame) -> DataFrame:
