@@ -64,11 +64,23 @@ def find_all(column: Column, pattern: str, group: int = 0) -> Column:
 
 
 def char_ngrams(column: Column, size: int) -> Column:
-    """All windows of ``size`` characters, in order, repeats kept."""
-    return F.when(
-        F.length(column) >= size,
-        F.transform(F.sequence(F.lit(1), F.length(column) - (size - 1)), lambda i: F.substring(column, i, F.lit(size))),
-    ).otherwise(F.array().cast("array<string>"))
+    """All windows of ``size`` characters, in order, repeats kept.
+
+    A zero-width match captures the window at every position in one pass over the
+    text (``substring`` would count from the start of the text each time).
+    """
+    return F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{{int(size)}}}))"), F.lit(1))
+
+
+def char_windows(column: Column, size: int, step: int | None = None) -> Column:
+    """Windows of ``size`` characters every ``step``; the first to reach the end is the last."""
+    size, step = int(size), int(step or size)
+    if step == size:
+        return F.regexp_extract_all(column, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    count = F.greatest(F.lit(0), F.ceil((F.length(column) - size) / step).cast("int")) + 1
+    return F.slice(
+        F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1)), F.lit(1), count
+    )
 
 
 def multi_ngrams(column: Column, sizes: tuple[int, ...]) -> Column:

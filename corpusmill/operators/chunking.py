@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from corpusmill.functions.text import clean_spaces, estimate_tokens, let, normalize_extracted, sentence_units, strip, text_of, token_list
+from corpusmill.functions.text import char_windows, clean_spaces, estimate_tokens, let, normalize_extracted, sentence_units, strip, text_of, token_list
 
 WINDOWS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 STRATEGIES = ("boundary", "hard", "dynamic")
@@ -37,19 +37,7 @@ def normalize_strategy(value: object, default: str = "dynamic") -> str:
 
 def split_hard(text: Column, size: int) -> Column:
     """Fixed character windows, stripped, empty ones dropped."""
-    return let(
-        strip(text_of(text)),
-        lambda t: F.when(
-            F.length(t) > 0,
-            F.filter(
-                F.transform(
-                    F.sequence(F.lit(0), F.floor((F.length(t) - 1) / size).cast("int")),
-                    lambda i: strip(F.substring(t, i * size + 1, F.lit(size))),
-                ),
-                lambda piece: piece != "",
-            ),
-        ).otherwise(F.array().cast("array<string>")),
-    )
+    return F.filter(F.transform(char_windows(strip(text_of(text)), size), strip), lambda piece: piece != "")
 
 
 @F.pandas_udf(WINDOWS)
@@ -427,20 +415,26 @@ def token_windows(tokens: Column, size: int, overlap: int = 0) -> Column:
     )
 
 
-def hard_chunks_with_spans(df: DataFrame, key: str, text: str, size: int = 600) -> DataFrame:
-    """Fixed windows of the stripped text with offsets into the raw text."""
+def hard_chunks_with_spans(df: DataFrame, key: str, text: str, size: int = 600, step: int | None = None) -> DataFrame:
+    """Fixed windows of the stripped text with offsets into the raw text.
+
+    With ``step`` below ``size`` the passages overlap; they end with the first one
+    that reaches the end of the text.
+    """
+    step = int(step or size)
     base = df.select(key, text_of(text).alias("_raw")).withColumn("_clean", strip(F.col("_raw"))).withColumn(
         "_lead", F.length("_raw") - F.length(F.regexp_replace("_raw", r"(?U)^\s+", ""))
     )
-    steps = F.when(F.length("_clean") > 0, F.sequence(F.lit(0), F.floor((F.length("_clean") - 1) / size).cast("int")))
-    rows = base.select(key, "_clean", "_lead", F.explode(steps).alias("i"))
-    start = F.col("i") * size
+    rows = base.select(
+        key, F.length("_clean").alias("_n"), "_lead", F.posexplode(char_windows(F.col("_clean"), size, step)).alias("i", "w")
+    )
+    start = F.col("i") * step
     return rows.select(
         key,
         (F.col("i") + 1).alias("chunk_index"),
         (F.col("_lead") + start).alias("start_char"),
-        (F.col("_lead") + F.least(F.length("_clean"), start + size)).alias("end_char"),
-        strip(F.substring(F.col("_clean"), start + 1, F.lit(size))).alias("content"),
+        (F.col("_lead") + F.least(F.col("_n"), start + size)).alias("end_char"),
+        strip(F.col("w")).alias("content"),
     ).filter("content <> ''")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import char_ngrams
@@ -11,6 +11,10 @@ from corpusmill.session import broadcast_checked, spread
 KEY_CHARS = 16
 
 
+def _hashed_windows(text: Column, size: int) -> Column:
+    return F.transform(char_ngrams(text, size), lambda window: F.xxhash64(window, F.lit(size)))
+
+
 def contains_pairs(
     texts: DataFrame, terms: DataFrame, text_id: str, text: str, term_id: str, term: str
 ) -> DataFrame:
@@ -31,16 +35,7 @@ def contains_pairs(
     windows = base.select(
         text_id,
         F.explode_outer(
-            F.array_distinct(
-                F.flatten(
-                    F.array(
-                        *[
-                            F.transform(char_ngrams(F.col(text), n), lambda w, n=n: F.xxhash64(w, F.lit(n)))
-                            for n in sorted(lengths)
-                        ]
-                    )
-                )
-            )
+            F.array_distinct(F.flatten(F.array(*[_hashed_windows(F.col(text), n) for n in sorted(lengths)])))
         ).alias("_key"),
     )
     candidates = windows.join(broadcast_checked(keyed.select(term_id, "_key")), "_key").select(text_id, term_id)

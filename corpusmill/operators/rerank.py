@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusmill.functions.text import bm25_tokens, compact, find_all, multi_ngrams, phrase_bonus
+from corpusmill.functions.text import bm25_tokens, compact, find_all, let, multi_ngrams, phrase_bonus
 from corpusmill.operators.embed import PairScorer, overlap_scorer, pair_score
 from corpusmill.operators.sparse import RANK_DIGITS
 
@@ -137,7 +137,7 @@ def phrase_terms(text: Column) -> Column:
 
 
 def covered_count(terms: Column, compact_text: Column) -> Column:
-    return F.size(F.filter(terms, lambda t: F.contains(compact_text, compact(t))))
+    return let(compact_text, lambda body: F.size(F.filter(terms, lambda t: F.contains(body, compact(t)))))
 
 
 def coverage_boost(

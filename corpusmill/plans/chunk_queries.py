@@ -247,25 +247,38 @@ def parent_expand_dedupe(spark, sf_dir):
     )
 
 
+PIECES_SQL = f"""
+    hd AS (SELECT doc_id AS d, {trim_sql('text')} AS t FROM documents),
+    hx AS (SELECT d, t, unnest(range(0, length(t), 600)) AS o FROM hd),
+    pc AS (SELECT d * 10000 + o // 600 + 1 AS doc_id, d, o // 600 + 1 AS part, {trim_sql('substr(t, o + 1, 600)')} AS text, '' AS source FROM hx WHERE {trim_sql('substr(t, o + 1, 600)')} <> '')"""
+
+
+def pieces(spark, sf_dir):
+    """600-character chunks of all documents; the id keeps document and position order."""
+    cut = chunking.hard_chunks_with_spans(documents(spark, sf_dir), "doc_id", "text")
+    return cut.withColumn("chunk_id", F.col("doc_id") * 10000 + F.col("chunk_index"))
+
+
 @query(
     "neighbor_expand",
-    f"""WITH {Q.bm25_ctes(5)},
-        sec AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS chunk_index, lang FROM documents),
-        h AS (SELECT query_id, bm.rank, s.source, s.lang, s.chunk_index AS hit FROM bm JOIN sec s ON s.doc_id = bm.chunk_id),
-        nb AS (SELECT query_id, rank, c.doc_id, c.chunk_index, abs(c.chunk_index - hit) AS distance FROM h JOIN sec c ON c.source = h.source AND c.lang = h.lang AND abs(c.chunk_index - hit) <= 1),
-        f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, distance, chunk_index) AS n FROM nb) WHERE n = 1)
-        SELECT query_id, doc_id AS chunk_id, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, distance, chunk_index) AS position FROM f) WHERE position <= 8""",
+    f"""WITH {PIECES_SQL}, {Q.bm25_ctes(5, corpus='SELECT doc_id, source, text FROM pc')},
+        h AS (SELECT query_id, bm.rank, p.d, p.part AS hit FROM bm JOIN pc p ON p.doc_id = bm.chunk_id),
+        nb AS (SELECT query_id, rank, c.doc_id, c.part, abs(c.part - hit) AS distance FROM h JOIN pc c ON c.d = h.d AND abs(c.part - hit) <= 1),
+        f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, distance, part) AS n FROM nb) WHERE n = 1)
+        SELECT query_id, doc_id AS chunk_id, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, distance, part) AS position FROM f) WHERE position <= 8""",
 )
 def neighbor_expand(spark, sf_dir):
-    """Neighbours of each hit among the documents of its source and language."""
-    from pyspark.sql import Window as W
-
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    order = W.partitionBy("source", "lang").orderBy("doc_id")
-    placed = docs.select(
-        F.col("doc_id").alias("chunk_id"), F.concat_ws("/", "source", "lang").alias("section_id"), F.row_number().over(order).alias("chunk_index")
+    """Chunk search, then the chunks before and after every hit."""
+    cut = pieces(spark, sf_dir)
+    ix = sparse.build_index(cut, "content")
+    asked = read_table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    placed = cut.select("chunk_id", F.col("doc_id").alias("section_id"), "chunk_index")
+    hits = sparse.bm25_search(asked, ix, 5).select(
+        "query_id",
+        "rank",
+        F.floor(F.col("chunk_id") / 10000).cast("long").alias("section_id"),
+        F.pmod(F.col("chunk_id"), F.lit(10000)).cast("int").alias("chunk_index"),
     )
-    hits = bm25_hits(spark, sf_dir, 5).select("query_id", "chunk_id", "rank").join(placed, "chunk_id").drop("chunk_id")
     out = expansion.neighbor_expand(hits, placed)
     return out.select("query_id", "chunk_id", F.col("position").cast("long").alias("position"))
 

@@ -14,10 +14,13 @@ def tokens(column: str) -> str:
     )
 
 
-def bm25_ctes(k: int, k1: float = 1.4, b: float = 0.72, where: str = "TRUE", factor: str = "(1 + ln(qf))") -> str:
-    """CTEs ending in ``bm(query_id, chunk_id, score, rank)`` over documents x benchmark."""
+def bm25_ctes(
+    k: int, k1: float = 1.4, b: float = 0.72, where: str = "TRUE", factor: str = "(1 + ln(qf))",
+    corpus: str = "SELECT doc_id, source, text FROM documents",
+) -> str:
+    """CTEs ending in ``bm(query_id, chunk_id, score, rank)`` over a corpus x benchmark."""
     return f"""
-    d AS (SELECT doc_id, source, {tokens('text')} AS toks FROM documents),
+    d AS (SELECT doc_id, source, {tokens('text')} AS toks FROM ({corpus})),
     dl AS (SELECT doc_id, greatest(len(toks), 1) AS dl FROM d),
     st AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
     tf AS (SELECT doc_id, source, term, count(*) AS tf FROM (SELECT doc_id, source, unnest(toks) AS term FROM d) GROUP BY ALL),
