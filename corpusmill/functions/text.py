@@ -5,6 +5,7 @@ All of these are Spark Column expressions and run in the JVM.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -189,11 +190,8 @@ def phrase_bonus(query: Column, text: Column) -> Column:
 
 
 def any_contains(text: Column, terms: list[str] | tuple[str, ...]) -> Column:
-    """True when any fixed term occurs in ``text``."""
-    condition = F.lit(False)
-    for term in terms:
-        condition = condition | F.contains(text, F.lit(term))
-    return condition
+    """True when any fixed term occurs in ``text`` (one pass over the text)."""
+    return text.rlike("|".join(re.escape(t) for t in terms)) if terms else F.lit(False)
 
 
 def contained_terms(text: Column, terms: list[str] | tuple[str, ...]) -> Column:

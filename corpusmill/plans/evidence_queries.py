@@ -348,3 +348,44 @@ def keyword_variants(spark, sf_dir):
         F.explode(planning.keyword_variants(F.col("text"), clean_spaces(F.col("text")), F.slice(find_all(F.col("text"), "[A-Za-z0-9_.-]+"), 1, 1))).alias("v"),
     )
     return rows.groupBy("query_id").agg(F.count("*").alias("n_variants"), F.round(F.sum("v.weight"), 6).alias("total_weight"))
+
+
+@query(
+    "event_evidence_lines",
+    """WITH l AS (SELECT event_id, unnest(['status: ' || event_type, 'owner: user ' || user_id, 'vote: ' || CASE WHEN value > 50 THEN 'yes' ELSE 'no' END, 'note ' || CAST(json_extract(props, '$.k') AS VARCHAR)]) AS line, unnest([1, 2, 3, 4]) AS i, event_type FROM events),
+        c AS (SELECT event_id, line, i, CASE WHEN i = 1 THEN 0 WHEN i = 2 THEN 3 WHEN i = 3 THEN NULL ELSE NULL END AS category FROM l)
+        SELECT category, count(*) AS n, count(DISTINCT line) AS n_lines FROM c WHERE category IS NOT NULL GROUP BY category""",
+)
+def event_evidence_lines(spark, sf_dir):
+    """Events as records of ``key: value`` lines, judged for a list question on results."""
+    rendered = F.concat_ws(
+        "\n",
+        F.concat(F.lit("status: "), F.col("event_type")),
+        F.concat(F.lit("owner: user "), F.col("user_id")),
+        F.concat(F.lit("vote: "), F.when(F.col("value") > 50, "yes").otherwise("no")),
+        F.concat(F.lit("note "), F.get_json_object("props", "$.k")),
+    )
+    records = read_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("query_id"), F.lit(1).alias("rank"), F.lit("event").alias("title"), rendered.alias("content")
+    )
+    asked = records.select("query_id", F.lit("list all failed task results").alias("question"))
+    out = evidence.evidence_lines(records, asked)
+    return out.groupBy(F.col("category")).agg(F.count("*").alias("n"), F.countDistinct("line").alias("n_lines"))
+
+
+@query(
+    "event_list_search",
+    """SELECT event_type, count(*) AS n FROM (SELECT event_id, event_type FROM events WHERE event_type IN ('purchase', 'error') ORDER BY event_id LIMIT 12) GROUP BY event_type""",
+)
+def event_list_search(spark, sf_dir):
+    """Records whose result field names a requested outcome, in sequence order, first twelve."""
+    outcome = F.when(F.col("event_type") == "purchase", "成功").when(F.col("event_type") == "error", "失敗").otherwise("未知")
+    chunks = read_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("chunk_id"),
+        F.concat(F.lit("第"), F.col("event_id"), F.lit("輪")).alias("title"),
+        F.concat(F.lit("結果："), outcome, F.lit("\nevent_type: "), F.col("event_type")).alias("content"),
+        "event_type",
+    )
+    asked = chunks.agg(F.count("*").alias("n")).select(F.lit(1).alias("query_id"), F.lit("哪些任務成功或失敗").alias("question"))
+    hits = evidence.event_list_chunks(asked, chunks.drop("event_type"))
+    return hits.join(chunks.select("chunk_id", "event_type"), "chunk_id").groupBy("event_type").agg(F.count("*").alias("n"))
