@@ -34,56 +34,91 @@ def fixed_windows(events: DataFrame, window_seconds: int, target: int = SEGMENT_
     """
     window = int(window_seconds) * 1_000_000
     placed = _segments(events, window, target)
-    key_type = dict(events.dtypes)["key"]
+    columns = events.columns
+    types = dict(events.dtypes)
+    # Many small (key, segment) groups share one Python call; a bucket holds about
+    # one segment's worth of events.
+    partitions = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, -(-events.count() // target))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("key", "segment"), F.lit(buckets)))
+
+    def groups(frame: pd.DataFrame):
+        """Sorted frame and the row ranges of its (key, segment) groups."""
+        frame = frame.sort_values(["key", "segment", "us"], kind="stable").reset_index(drop=True)
+        changed = (frame["key"] != frame["key"].shift()) | (frame["segment"] != frame["segment"].shift())
+        starts = np.flatnonzero(changed.to_numpy())
+        return frame, list(zip(starts, np.append(starts[1:], len(frame))))
 
     def summarize(frame: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(frame["us"].to_numpy())
-        start = int(frame["seg_start"].iloc[0])
-        following = np.searchsorted(times, times + window)
-        leaving = np.empty(len(times), dtype=np.int64)
-        for i in range(len(times) - 1, -1, -1):
-            leaving[i] = leaving[following[i]] if following[i] < len(times) else times[i] + window
-        # A running window ends within one window length of the segment start.
-        last = min(int(np.searchsorted(times, start + window)) + 1, len(times))
-        opens, ends = times[:last], leaving[:last]
-        keep = np.append(ends[1:] != ends[:-1], True)
-        return pd.DataFrame({"key": frame["key"].iloc[0], "segment": frame["segment"].iloc[0], "opens": opens[keep], "ends": ends[keep]})
-
-    maps = placed.select("key", "segment", "seg_start", "us").groupBy("key", "segment").applyInPandas(
-        summarize, f"key {key_type}, segment long, opens long, ends long"
+        frame, ranges = groups(frame)
+        us, seg_start = frame["us"].to_numpy(), frame["seg_start"].to_numpy()
+        rows, opens_out, ends_out = [], [], []
+        for a, b in ranges:
+            times = np.unique(us[a:b])
+            following = np.searchsorted(times, times + window)
+            leaving = times + window
+            for i in range(len(times) - 1, -1, -1):
+                if following[i] < len(times):
+                    leaving[i] = leaving[following[i]]
+            # A running window ends within one window length of the segment start.
+            last = min(int(np.searchsorted(times, seg_start[a] + window)) + 1, len(times))
+            opens, ends = times[:last], leaving[:last]
+            keep = np.append(ends[1:] != ends[:-1], True)
+            opens_out.append(opens[keep])
+            ends_out.append(ends[keep])
+            rows.extend([a] * int(keep.sum()))
+        return pd.DataFrame(
+            {
+                "key": frame["key"].to_numpy()[rows],
+                "segment": frame["segment"].to_numpy()[rows],
+                "opens": np.concatenate(opens_out),
+                "ends": np.concatenate(ends_out),
+            }
+        )
+
+    maps = placed.select("bucket", "key", "segment", "seg_start", "us").groupBy("bucket").applyInPandas(
+        summarize, f"key {types['key']}, segment long, opens long, ends long"
     )
+    maps = maps.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
 
     def compose(frame: pd.DataFrame) -> pd.DataFrame:
-        running, rows = None, []
-        for segment, part in frame.sort_values(["segment", "opens"]).groupby("segment", sort=True):
-            rows.append((frame["key"].iloc[0], segment, running))
-            opens, ends = part["opens"].to_numpy(), part["ends"].to_numpy()
-            at = 0 if running is None else int(np.searchsorted(opens, running))
-            if at < len(opens):
+        frame = frame.sort_values(["key", "segment", "opens"]).reset_index(drop=True)
+        keys, segments = frame["key"].to_numpy(), frame["segment"].to_numpy()
+        opens, ends = frame["opens"].to_numpy(), frame["ends"].to_numpy()
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (segments[1:] != segments[:-1])) + 1
+        out, running = [], None
+        for a, b in zip(np.append(0, cuts), np.append(cuts, len(frame))):
+            if a == 0 or keys[a] != keys[a - 1]:
+                running = None
+            out.append((keys[a], segments[a], running))
+            at = a if running is None else a + int(np.searchsorted(opens[a:b], running))
+            if at < b:
                 running = int(ends[at])
-        return pd.DataFrame(rows, columns=["key", "segment", "running"]).astype({"running": "Int64"})
+        return pd.DataFrame(out, columns=["key", "segment", "running"]).astype({"running": "Int64"})
 
-    entries = maps.groupBy("key").applyInPandas(compose, f"key {key_type}, segment long, running long")
+    entries = maps.groupBy("bucket").applyInPandas(compose, f"key {types['key']}, segment long, running long")
 
     def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("us")
-        times = frame["us"].to_numpy()
-        running = frame["running"].iloc[0]
-        opened = np.empty(len(times), dtype=np.int64)
-        at = 0
-        if not pd.isna(running):
-            at = int(np.searchsorted(times, int(running)))
-            opened[:at] = int(running) - window
-        while at < len(times):
-            after = int(np.searchsorted(times, times[at] + window))
-            opened[at:after] = times[at]
-            at = after
+        frame, ranges = groups(frame)
+        us = frame["us"].to_numpy()
+        running = frame["running"].astype("Int64").to_numpy(dtype="float64", na_value=np.nan)
+        exact = frame["running"].astype("Int64")
+        opened = np.empty(len(frame), dtype=np.int64)
+        for a, b in ranges:
+            at = a
+            if not np.isnan(running[a]):
+                ends = int(exact.iloc[a])
+                at = a + int(np.searchsorted(us[a:b], ends))
+                opened[a:at] = ends - window
+            while at < b:
+                after = a + int(np.searchsorted(us[a:b], us[at] + window))
+                opened[at:after] = us[at]
+                at = after
         return frame.assign(window_us=opened)[[*columns, "window_us"]]
 
-    columns = events.columns
-    joined = placed.join(entries, ["key", "segment"]).select(*columns, "segment", "running")
+    joined = placed.join(entries, ["key", "segment"]).select("bucket", *columns, "segment", "running")
     schema = ", ".join(f"{n} {t}" for n, t in events.dtypes) + ", window_us long"
-    return joined.groupBy("key", "segment").applyInPandas(assign, schema)
+    return joined.groupBy("bucket").applyInPandas(assign, schema)
 
 
 def rate_limit(events: DataFrame, limit: int, window_seconds: int, order: str = "event_id", target: int = SEGMENT_EVENTS) -> DataFrame:

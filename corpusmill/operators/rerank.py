@@ -47,8 +47,11 @@ def feature_rerank(
     group = W.partitionBy(*keys)
     low, high = F.min("embedding_score").over(group), F.max("embedding_score").over(group)
     top_bm25, top_fusion = F.max("bm25_score").over(group), F.max(fusion).over(group)
+    # The pool is small in bytes but costly per row: use all reducers for it.
+    partitions = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scored = (
-        candidates.withColumn("_q", F.array_distinct(bm25_tokens(query_text)))
+        candidates.repartition(partitions, *keys, "chunk_id")
+        .withColumn("_q", F.array_distinct(bm25_tokens(query_text)))
         .withColumn("_c", F.array_distinct(bm25_tokens(chunk_text)))
         .withColumn("coverage", coverage(F.col("_q"), F.col("_c")))
         .withColumn("_covered", F.array_intersect("_q", "_c"))
