@@ -22,9 +22,10 @@ from corpusmill.functions.text import char_ngrams, compact, find_all, keyword_to
 from corpusmill.operators.dense import HIT_SCHEMA, _best, _merge_best
 from corpusmill.operators.expansion import preserve_anchors
 from corpusmill.operators.sparse import top_k
-from corpusmill.session import fits_broadcast, salted_join, spread
+from corpusmill.session import BROADCAST_LIMIT_BYTES, fits_broadcast, salted_join, spread
 
 GRAM_SIZES = (4, 3, 2)
+MATRIX_LIMIT_BYTES = 4 * BROADCAST_LIMIT_BYTES
 _TOKENS = re.compile(r"[A-Za-z0-9_,.]+")
 _CJK = re.compile(r"[一-鿿]{2,}")
 
@@ -43,7 +44,7 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int, query_text: st
         F.sum(F.length("key")).alias("points")
     )
     tokens = queries.select("query_id", F.explode(keyword_tokens(query_text)).alias("key")).groupBy("query_id", "key").agg(F.count("*").alias("times"))
-    if fits_broadcast(grams) and boost is None:
+    if boost is None and fits_broadcast(grams) and _matrix_bytes(grams, queries) <= MATRIX_LIMIT_BYTES:
         scored = _matrix_search(grams, tokens, chunks.select("chunk_id", F.col(chunk_text).alias("content")), k)
     else:
         scored = _join_search(grams, tokens, chunks.select("chunk_id", F.col(chunk_text).alias("content")))
@@ -52,6 +53,11 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int, query_text: st
     return top_k(scored.filter("score > 0"), ("query_id",), k, "score", "chunk_id")
 
 
+def _matrix_bytes(grams: DataFrame, queries: DataFrame) -> int:
+    """Size of the dense gram-by-question matrix, known before it is built."""
+    return 4 * queries.count() * grams.select("key").distinct().count()
+
+
 def _matrix_search(grams: DataFrame, tokens: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     # Bounded by the measurement in keyword_search; tokens are fewer than grams.
     g, t = grams.toPandas(), tokens.toPandas()

@@ -12,6 +12,7 @@ from corpusmill.config import Settings
 from corpusmill.functions.text import embedding_text, indexed_text, text_of
 from corpusmill.operators import dense, evidence, expansion, fusion, planning, rerank, sparse
 from corpusmill.operators.embed import Embedder, PairScorer, embed, hashing_embedder, overlap_scorer
+from corpusmill.session import broadcast_bounded
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,9 @@ def retrieve(
         "chunk_id", "child_id", "parent_id", "title", "page", "source_id", "content",
         indexed_text(F.col("parent_title"), F.col("title"), F.col("source_id"), F.col("page"), F.col("content")).alias("full_text"),
     )
-    candidates = fused.join(answer_text, "query_id").join(routed, "query_id").join(texts, "chunk_id")
+    # At most 100 candidates per question go to the texts; the corpus is not shuffled.
+    few = broadcast_bounded(fused.join(answer_text, "query_id").join(routed, "query_id"), questions.count() * 100, 2000)
+    candidates = texts.join(few, "chunk_id")
 
     def second_stage(part: DataFrame) -> DataFrame:
         if settings.hybrid_fusion_method == "rrf":

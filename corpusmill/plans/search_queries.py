@@ -8,7 +8,7 @@ from corpusmill.functions.text import bm25_tokens, estimate_tokens
 from corpusmill.operators import dense, embed, fusion, rerank, sparse
 from corpusmill.plans import sqltext as Q
 from corpusmill.plans.registry import query
-from corpusmill.session import read_table, spread
+from corpusmill.session import broadcast_bounded, read_table, spread
 
 
 def corpus(spark, sf_dir):
@@ -46,10 +46,15 @@ def fused(spark, sf_dir, k=30, limit=100):
 
 
 def with_texts(candidates, spark, sf_dir):
-    """Attach question and chunk text to a bounded candidate list."""
+    """Attach question and chunk text to at most 100 candidates per question.
+
+    The candidates go to the texts, so the corpus is scanned and not shuffled.
+    """
     texts = corpus(spark, sf_dir).select("chunk_id", F.col("text").alias("chunk_text"))
     asked = questions(spark, sf_dir).select("query_id", F.col("text").alias("query_text"))
-    return candidates.join(texts, "chunk_id").join(asked, "query_id")
+    few = broadcast_bounded(candidates, asked.count() * 100, 2000)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return texts.join(few, "chunk_id").repartition(partitions, "query_id", "chunk_id").join(asked, "query_id")
 
 
 def hits_out(hits, *extra):

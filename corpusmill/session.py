@@ -80,6 +80,14 @@ def broadcast_checked(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Data
     return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
+def broadcast_bounded(df: DataFrame, max_rows: int, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """Hint a broadcast when the operator itself bounds the rows (a top k per query).
+
+    Nothing is executed to find out; above the limit the join is left to AQE.
+    """
+    return F.broadcast(df) if max_rows * row_bytes <= limit else df
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: str, salt_by: str, salts: int = 32) -> DataFrame:
     """Inner equi-join whose hot keys are spread over ``salts`` reducers.
 
