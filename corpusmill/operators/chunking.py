@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from corpusmill.functions.text import char_windows, clean_spaces, estimate_tokens, let, normalize_extracted, sentence_units, strip, text_of, token_list
+from corpusmill.session import stage
 
 WINDOWS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 STRATEGIES = ("boundary", "hard", "dynamic")
@@ -153,11 +154,13 @@ def parent_child(
     child_tokens: int = 256,
     parent_overlap: int = 0,
     child_overlap: int = 0,
+    reuse: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Parents and the children inside each of them, as two tables.
 
     ``units(source_id, filename, unit_index, title, page, content)``. A child
-    refers to its parent by ``parent_id``; the parent text is not repeated.
+    refers to its parent by ``parent_id``; the parent text is not repeated. With
+    ``reuse`` the parents are written once and read by both consumers.
     """
     parent_tokens, child_tokens = max(1, int(parent_tokens)), max(1, int(child_tokens))
     parent_overlap = max(0, min(int(parent_overlap), parent_tokens - 1))
@@ -193,6 +196,8 @@ def parent_child(
         "content",
         estimate_tokens("content").alias("token_count"),
     )
+    if reuse:
+        parents = stage(parents, "parents")
     pieces = chunk(
         parents.withColumn("body", F.col("content")).drop("content"),
         "body",

@@ -229,7 +229,7 @@ def markdown_sections(spark, sf_dir):
 )
 def parent_expand_dedupe(spark, sf_dir):
     """Search children, answer with their distinct parents."""
-    parents, children = chunking.parent_child(units(spark, sf_dir), 256, 64)
+    parents, children = chunking.parent_child(units(spark, sf_dir), 256, 64, reuse=True)
     # Position of a child in its corpus: document, parent, child.
     numbered = children.withColumn(
         "ordinal",

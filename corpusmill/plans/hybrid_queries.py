@@ -46,7 +46,7 @@ def keyword_hybrid_search(spark, sf_dir):
 
 
 def corpus(spark, sf_dir):
-    parents, children = chunking.parent_child(units(spark, sf_dir), 256, 64)
+    parents, children = chunking.parent_child(units(spark, sf_dir), 256, 64, reuse=True)
     order = F.col("source_id").cast("long") * 100_000_000 + F.col("parent_index") * 10_000 + F.col("child_index")
     # Chunking feeds both searches, the texts and the parents: cut once.
     children = stage(children.withColumn("chunk_id", order), "children")
