@@ -91,15 +91,24 @@ def _boundary(texts: pd.Series, sizes: pd.Series, strides: pd.Series) -> pd.Seri
 
 
 def _fit_sentences(text: Column, budget: int) -> Column:
-    """Sentences; one above the budget becomes token groups joined without blanks."""
+    """``array<struct<s,n>>`` sentences with their token counts.
+
+    One above the budget becomes token groups joined without blanks; joining can
+    merge tokens, so only those pieces are counted again.
+    """
 
     def fit(sentence: Column) -> Column:
         return let(
             token_list(sentence),
-            lambda toks: F.when(F.size(toks) <= budget, F.array(sentence)).otherwise(
+            lambda toks: F.when(
+                F.size(toks) <= budget, F.array(F.struct(sentence.alias("s"), F.size(toks).alias("n")))
+            ).otherwise(
                 F.transform(
-                    F.sequence(F.lit(0), F.floor((F.size(toks) - 1) / budget).cast("int")),
-                    lambda i: F.array_join(F.slice(toks, i * budget + 1, F.lit(budget)), ""),
+                    F.transform(
+                        F.sequence(F.lit(0), F.floor((F.size(toks) - 1) / budget).cast("int")),
+                        lambda i: F.array_join(F.slice(toks, i * budget + 1, F.lit(budget)), ""),
+                    ),
+                    lambda piece: F.struct(piece.alias("s"), estimate_tokens(piece).alias("n")),
                 )
             ),
         )
@@ -115,8 +124,12 @@ def split_text(
     strategy: str = "boundary",
     overlap_tokens: int = 200,
     out: str = "pieces",
+    tokens: str | None = None,
 ) -> DataFrame:
-    """Add ``out``: the pieces of ``text`` under one of the three strategies."""
+    """Add ``out``: the pieces of ``text`` under one of the three strategies.
+
+    The dynamic strategy can also add ``tokens``, the token count of each piece.
+    """
     size = max(1, int(size or 1))
     strategy = normalize_strategy(strategy, "boundary")
     if strategy == "hard":
@@ -131,21 +144,30 @@ def split_text(
         return cut.withColumn(out, pieces).drop("_t", "_w")
     overlap = max(0, int(overlap_tokens or 0))
     cut = df.withColumn("_s", _fit_sentences(F.col(text), size))
-    cut = cut.withColumn("_n", F.transform("_s", estimate_tokens))
-    cut = cut.withColumn("_w", _pack("_n", F.lit(size), F.lit(overlap)))
-    pieces = F.transform("_w", lambda w: F.array_join(F.slice(F.col("_s"), w["first"] + 1, w["last"] - w["first"]), "\n"))
-    return cut.withColumn(out, pieces).drop("_s", "_n", "_w")
+    cut = cut.withColumn("_w", _pack(F.col("_s.n"), F.lit(size), F.lit(overlap)))
+    inside = lambda w: F.slice(F.col("_s"), w["first"] + 1, w["last"] - w["first"])
+    pieces = F.transform("_w", lambda w: F.array_join(F.transform(inside(w), lambda x: x["s"]), "\n"))
+    cut = cut.withColumn(out, pieces)
+    if tokens:
+        # Pieces are joined by line breaks, so no token crosses a sentence.
+        cut = cut.withColumn(tokens, F.transform("_w", lambda w: F.aggregate(inside(w), F.lit(0), lambda acc, x: acc + x["n"])))
+    return cut.drop("_s", "_w")
 
 
-def chunk(df: DataFrame, text: str, size: int, **options) -> DataFrame:
-    """One row per piece: input columns (without the text), ``part``, ``parts``, ``content``."""
-    pieces = split_text(df, text, size, **options)
-    return (
-        pieces.withColumn("parts", F.size("pieces"))
-        .select(*[c for c in df.columns if c != text], "parts", F.posexplode_outer("pieces").alias("part", "content"))
-        .filter(F.col("content").isNotNull())
-        .withColumn("part", F.col("part") + 1)
-    )
+def chunk(df: DataFrame, text: str, size: int, count_tokens: bool = False, **options) -> DataFrame:
+    """One row per piece: input columns (without the text), ``part``, ``parts``, ``content``.
+
+    ``count_tokens`` (dynamic strategy) adds ``token_count``.
+    """
+    kept = [c for c in df.columns if c != text]
+    pieces = split_text(df, text, size, tokens="piece_tokens" if count_tokens else None, **options)
+    pieces = pieces.withColumn("parts", F.size("pieces"))
+    if count_tokens:
+        rows = pieces.select(*kept, "parts", F.posexplode_outer(F.arrays_zip("pieces", "piece_tokens")).alias("part", "z"))
+        rows = rows.select(*kept, "parts", "part", F.col("z.pieces").alias("content"), F.col("z.piece_tokens").alias("token_count"))
+    else:
+        rows = pieces.select(*kept, "parts", F.posexplode_outer("pieces").alias("part", "content"))
+    return rows.filter(F.col("content").isNotNull()).withColumn("part", F.col("part") + 1)
 
 
 def parent_child(
@@ -180,7 +202,7 @@ def parent_child(
         ).alias("page"),
         clean_spaces(F.col("content")).alias("body"),
     )
-    cut = chunk(base, "body", parent_tokens, strategy="dynamic", overlap_tokens=parent_overlap)
+    cut = chunk(base, "body", parent_tokens, count_tokens=True, strategy="dynamic", overlap_tokens=parent_overlap)
     suffix = F.concat(F.col("unit_index"), F.lit("-"), F.col("part"))
     parents = cut.select(
         "source_id",
@@ -194,14 +216,15 @@ def parent_child(
         ).alias("title"),
         "page",
         "content",
-        estimate_tokens("content").alias("token_count"),
+        "token_count",
     )
     if reuse:
         parents = stage(parents, "parents")
     pieces = chunk(
-        parents.withColumn("body", F.col("content")).drop("content"),
+        parents.withColumn("body", F.col("content")).drop("content").withColumnRenamed("token_count", "parent_token_count"),
         "body",
         child_tokens,
+        count_tokens=True,
         strategy="dynamic",
         overlap_tokens=child_overlap,
     )
@@ -219,8 +242,8 @@ def parent_child(
         F.col("title").alias("parent_title_context"),
         "page",
         "content",
-        estimate_tokens("content").alias("token_count"),
-        F.col("token_count").alias("parent_token_count"),
+        "token_count",
+        "parent_token_count",
     )
     return parents, children
 
