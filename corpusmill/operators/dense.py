@@ -34,10 +34,13 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 def _best(query_ids, ids, scores, k):
     """Best ``k`` rows per query of a score block (queries x chunks)."""
-    rounded = np.round(scores, RANK_DIGITS)
+    falling = -np.round(scores, RANK_DIGITS)
     out_q, out_c, out_s = [], [], []
+    # Only rows at least as good as the k-th best are ordered; ties at the edge stay in.
+    edge = np.partition(falling, k - 1, axis=1)[:, k - 1] if falling.shape[1] > k else None
     for row in range(scores.shape[0]):
-        order = np.lexsort((ids, -rounded[row]))[:k]
+        near = np.arange(falling.shape[1]) if edge is None else np.flatnonzero(falling[row] <= edge[row])
+        order = near[np.lexsort((ids[near], falling[row][near]))[:k]]
         out_q.append(np.full(len(order), query_ids[row]))
         out_c.append(ids[order])
         out_s.append(scores[row][order])
