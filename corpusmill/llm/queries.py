@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import impact, secretscan, sharding, urlrank, warc
+from corpusmill.llm import impact, jaccard, packing, secretscan, sharding, tiling, urlrank, warc
 from corpusmill.session import read_table
 
 QUERIES: dict = {}
@@ -99,6 +99,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), 40)
 
 
+@query("op6_string_tiling")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.tile_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copy_components(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_conflict_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 @query("op10_linked_secrets")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan_documents(read_table(spark, sf_dir, "documents"))
