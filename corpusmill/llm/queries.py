@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import impact, jaccard, packing, secretscan, sharding, tiling, urlrank, warc
+from corpusmill.llm import blocks, impact, jaccard, packing, secretscan, sharding, tiling, toxicity, urlrank, warc
 from corpusmill.session import read_table
 
 QUERIES: dict = {}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_channel_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query(
     "op2_impact_topk",
     """
@@ -109,6 +114,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copy_components(read_table(spark, sf_dir, "documents"))
 
 
+@query("op8_block_labeller")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 @query("op9_conflict_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))

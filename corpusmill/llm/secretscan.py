@@ -134,3 +134,22 @@ def redact(text: str | None, spans: str | None, mark: str = "[SECRET]") -> str |
             parts += [text[at:start], mark]
         at = max(at, end)
     return "".join(parts) + text[at:]
+
+
+def mask_documents(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """All documents with the secrets of their texts masked; other columns kept, ``n_chars`` counted anew."""
+    at = docs.columns.index("text")
+    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before = batch.column(at).to_pylist()
+            texts = [redact(t, scan_text(t, reach)[4]) for t in before]
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, columns[at].type)
+            if count is not None:
+                changed = [n if t == b else len(t) for n, t, b in zip(columns[count].to_pylist(), texts, before)]
+                columns[count] = pa.array(changed, columns[count].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
