@@ -3,8 +3,8 @@
 Method: prefixes over token combinations. Shingles are put in one global order:
 those seen once come first, then repeated ones, then frequent ones. Two sets
 that are similar enough share their first common shingle within their prefixes,
-and their first two within prefixes one longer. A repeated shingle of the prefix
-is indexed alone; frequent ones only in pairs from the longer prefix. Documents
+and their first two within prefixes one longer. A rare shingle of the prefix
+is indexed alone; frequent ones in pairs from the longer prefix. Documents
 of one index entry are compared in two rounds: each with the entry's head (the
 one with the fewest rare shingles), which binds large groups of copies with one
 comparison each, then all pairs that the links found so far leave apart. Size
@@ -25,8 +25,10 @@ are ignored, or kept by ``drop_near_copies``.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 WIDTH = 5
 PERCENT = 75
-FREQUENT = 32
-CLASS_BITS = 24
+FREQUENT = 256
+PAIRED = 64
+CLASS_BITS, ENTRY_BITS = 24, 27
 COUNT_TOKENS = 2_000_000
 KNOWN_WORDS = 1_000_000
 KNOWN_SETS = 1_000_000
@@ -75,19 +78,37 @@ class _WordHashes(dict):
         return value
 
 
-def shingles(text: str | None, hashes: dict, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of ``text``."""
+def _split(text: str | None) -> list[str]:
     text = text or ""
-    words = WORD.findall(text.lower() if text.isascii() else text.translate(UPPER))
-    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if not len(ids):
-        return ids
-    w = min(width, len(ids))
-    n = len(ids) - w + 1
-    value = np.full(n, w, np.uint64)
-    for k in range(w):
-        value = mixed(value * MIX + ids[k : k + n])
-    return np.unique(value)
+    return WORD.findall(text.lower() if text.isascii() else text.translate(UPPER))
+
+
+def _windows(ids: np.ndarray, width: int) -> np.ndarray:
+    n = len(ids) - width + 1
+    value = np.full(n, width, np.uint64)
+    for k in range(width):
+        value = value * MIX + ids[k : k + n]
+    return mixed(value)
+
+
+def shingles_of(texts: list, hashes: dict, width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text."""
+    words = [_split(t) for t in texts]
+    sizes = [len(w) for w in words]
+    ids = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, sum(sizes))
+    windows = _windows(ids, width) if len(ids) >= width else ids[:0]
+    out, at = [], 0
+    for n in sizes:
+        if n >= width:
+            out.append(np.unique(windows[at : at + n - width + 1]))
+        else:
+            out.append(_windows(ids[at : at + n], n) if n else ids[:0])
+        at += n
+    return out
+
+
+def shingles(text: str | None, hashes: dict, width: int) -> np.ndarray:
+    return shingles_of([text], hashes, width)[0]
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -104,8 +125,8 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
         for batch in batches:
             sizes, keys, grams = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingles(text, hashes, width)
+            texts = batch.column(1).to_pylist()
+            for found in chain.from_iterable(shingles_of(texts[i : i + 256], hashes, width) for i in range(0, len(texts), 256)):
                 key = xxhash.xxh3_64_intdigest(raw := found.tobytes()) - (1 << 63) if len(found) else None
                 fresh = key is not None and key not in seen
                 if fresh:
@@ -161,15 +182,21 @@ def classes(grams: np.ndarray, bits: tuple[np.ndarray, np.ndarray]) -> np.ndarra
 
 
 def index_entries(grams: np.ndarray, kinds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index entries of one set and the position of each one's first shingle in the set's order."""
+    """Index entries of one set and the position of each one's first shingle in the set's order.
+
+    Frequent shingles stand in pairs in sets of up to ``PAIRED`` shingles and
+    alone in larger ones, whose pairs would be too many. Sets of sizes that may
+    meet across that border have both kinds of entries.
+    """
     n = len(grams)
     may_miss = n - -(-percent * n // 100)
     order = np.argsort(kinds, kind="stable")
     prefix, kind = grams[order[: may_miss + 2]], kinds[order[: may_miss + 2]]
-    alone = np.flatnonzero(kind[: may_miss + 1] < 2)
+    paired, single = 100 * n <= 100 * 100 * PAIRED // percent, n > percent * PAIRED // 100
+    alone = np.flatnonzero((kind[: may_miss + 1] < 2) | single)
     entries, places = [prefix[alone]], [alone]
     often = np.flatnonzero(kind == 2)
-    if len(often) > 1 and often[0] <= may_miss:
+    if paired and len(often) > 1 and often[0] <= may_miss:
         a, b = np.triu_indices(len(often), 1)
         keep = often[a] <= may_miss
         a, b = often[a[keep]], often[b[keep]]
@@ -178,23 +205,94 @@ def index_entries(grams: np.ndarray, kinds: np.ndarray, percent: int) -> tuple[n
     return np.concatenate(entries), np.concatenate(places)
 
 
-def postings(sets: DataFrame, bits: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    tables = sets.sparkSession.sparkContext.broadcast(bits)
+def _listed(sets: DataFrame) -> DataFrame:
+    return sets.where("grams is not null and kind = 0").select("key", "grams")
+
+
+def repeated_entries(sets: DataFrame, bits, percent: int) -> np.ndarray:
+    """Bit table over the low bits of entries that occur twice or more.
+
+    Entries travel as packed 32-bit values, each once per task and chunk, in as
+    many buckets as their number asks for; so an entry in a third of all sets
+    is no larger than another. 16 MB at any input size: when it fills up, more
+    entries pass in vain.
+    """
+    total = sets.where("kind = 0 and grams is not null").agg(F.sum("n")).first()[0] or 0
+    buckets = max(64, math.ceil(total / 4_000_000))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def told():
+            values, times = np.unique(np.concatenate(held), return_counts=True)
+            bucket = ((values >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            values, times, bucket = values[order].astype(np.uint32), times[order], bucket[order]
+            edges = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(bucket))
+            rows = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                twice = values[a:b][times[a:b] > 1]
+                rows.append((int(bucket[a]), values[a:b].tobytes(), twice.tobytes()))
+            return _batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], "bucket long, once binary, twice binary")
+
+        for batch in batches:
+            for raw in batch.column(1).to_pylist():
+                grams = np.frombuffer(raw, np.uint64)
+                held.append(index_entries(grams, classes(grams, bits.value), percent)[0])
+                size += len(held[-1])
+                if size > 2_000_000:
+                    yield told()
+                    held, size = [], 0
+        if held:
+            yield told()
+
+    def meet(rows):
+        import pandas as pd
+
+        values, times = np.unique(np.concatenate([np.frombuffer(r, np.uint32) for r in rows["once"]]), return_counts=True)
+        found = np.unique(np.concatenate([values[times > 1], *[np.frombuffer(r, np.uint32) for r in rows["twice"]]])) & np.uint32((1 << ENTRY_BITS) - 1)
+        part = found >> np.uint32(ENTRY_BITS - 5)
+        return pd.DataFrame([(int(p), found[part == p].tobytes()) for p in np.unique(part)], columns=["part", "slots"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                slots = np.frombuffer(raw, np.uint32) & np.uint32((1 << (ENTRY_BITS - 5)) - 1)
+                table = tables.setdefault(part, np.zeros(1 << (ENTRY_BITS - 8), np.uint8))
+                np.bitwise_or.at(table, slots >> np.uint32(3), np.uint8(1) << (slots & np.uint32(7)).astype(np.uint8))
+        for part, table in tables.items():
+            yield _batch([pa.array([part], pa.int64()), pa.array([table.tobytes()], pa.binary())], "part long, slots binary")
+
+    packed = _listed(sets).mapInArrow(pack, "bucket long, once binary, twice binary")
+    slots = packed.groupBy("bucket").applyInPandas(meet, "part long, slots binary")
+    table = np.zeros((32, 1 << (ENTRY_BITS - 8)), np.uint8)
+    for row in slots.repartition(32, "part").mapInArrow(merge, "part long, slots binary").collect():  # 32 rows of 512 kB at most
+        table[row["part"]] = np.frombuffer(row["slots"], np.uint8)
+    return table.reshape(-1)
+
+
+def postings(sets: DataFrame, bits, repeated: np.ndarray, percent: int) -> DataFrame:
+    """``entry, pos, n, key`` of the entries that may have two sets or more."""
+    known = sets.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
+            parts, size = [], 0
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 grams = np.frombuffer(raw, np.uint64)
-                entry, pos = index_entries(grams, classes(grams, tables.value), percent)
-                parts.append((entry.view(np.int64), pos, np.full(len(pos), len(grams)), np.full(len(pos), key)))
-                if sum(len(p[1]) for p in parts) > 200_000:
+                entry, pos = index_entries(grams, classes(grams, bits.value), percent)
+                slot = entry & np.uint64((1 << ENTRY_BITS) - 1)
+                met = np.flatnonzero((known.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+                parts.append((entry[met].view(np.int64), pos[met], np.full(len(met), len(grams)), np.full(len(met), key)))
+                size += len(met)
+                if size > 200_000:
                     yield _batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], POSTINGS)
-                    parts = []
+                    parts, size = [], 0
             if parts:
                 yield _batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], POSTINGS)
 
-    return sets.where("grams is not null and kind = 0").select("key", "grams").mapInArrow(run, POSTINGS)
+    return _listed(sets).mapInArrow(run, POSTINGS)
 
 
 def shared_entries(rows: DataFrame) -> DataFrame:
@@ -291,7 +389,8 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
 
 def similar_sets(sets: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """Links ``a, b`` between keys: enough of them to join every component."""
-    index = stage(shared_entries(postings(sets, class_bits(sets, frequent), percent)), "entries")
+    bits = sets.sparkSession.sparkContext.broadcast(class_bits(sets, frequent))
+    index = stage(shared_entries(postings(sets, bits, repeated_entries(sets, bits, percent), percent)), "entries")
     heads = index.where((F.col("key") != F.col("head")) & _may_link(F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_pos"), percent))
     first = stage(verified(heads.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), sets, percent), "firstlinks")
     known = broadcast_checked(components(first).select(F.col("node").alias("key"), "comp"))
