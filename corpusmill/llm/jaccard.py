@@ -45,9 +45,10 @@ PERCENT = 75
 FREQUENT = 256
 PAIRED = 64
 CLASS_BITS, ENTRY_BITS = 24, 27
-COUNT_TOKENS = 2_000_000
-KNOWN_WORDS = 1_000_000
-KNOWN_SETS = 1_000_000
+COUNT_TOKENS = 1_000_000
+KNOWN_WORDS = 200_000
+KNOWN_SETS = 200_000
+SLICE = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 SETS = "kind int, doc_id long, n long, key long, grams binary, counts binary"
@@ -123,10 +124,9 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             packed = [pa.array([x.tobytes()], pa.binary()) for x in (values[often], times[often].astype(np.int32))]
             return _batch([pa.array([1], pa.int32()), *[pa.nulls(1, pa.int64())] * 3, *packed], SETS)
 
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             sizes, keys, grams = [], [], []
-            texts = batch.column(1).to_pylist()
-            for found in chain.from_iterable(shingles_of(texts[i : i + 256], hashes, width) for i in range(0, len(texts), 256)):
+            for found in shingles_of(batch.column(1).to_pylist(), hashes, width):
                 key = xxhash.xxh3_64_intdigest(raw := found.tobytes()) - (1 << 63) if len(found) else None
                 fresh = key is not None and key not in seen
                 if fresh:
@@ -236,11 +236,11 @@ def repeated_entries(sets: DataFrame, bits, percent: int) -> np.ndarray:
             return _batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], "bucket long, once binary, twice binary")
 
         for batch in batches:
-            for raw in batch.column(1).to_pylist():
-                grams = np.frombuffer(raw, np.uint64)
+            for raw in batch.column(1):
+                grams = np.frombuffer(raw.as_buffer(), np.uint64)
                 held.append(index_entries(grams, classes(grams, bits.value), percent)[0])
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > COUNT_TOKENS:
                     yield told()
                     held, size = [], 0
         if held:
@@ -279,8 +279,8 @@ def postings(sets: DataFrame, bits, repeated: np.ndarray, percent: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, size = [], 0
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams = np.frombuffer(raw, np.uint64)
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                grams = np.frombuffer(raw.as_buffer(), np.uint64)
                 entry, pos = index_entries(grams, classes(grams, bits.value), percent)
                 slot = entry & np.uint64((1 << ENTRY_BITS) - 1)
                 met = np.flatnonzero((known.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
@@ -349,8 +349,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for raw_x, raw_y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(raw_x, np.uint64), np.frombuffer(raw_y, np.uint64)
+            for raw_x, raw_y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(raw_x.as_buffer(), np.uint64), np.frombuffer(raw_y.as_buffer(), np.uint64)
                 both = len(x) + len(y)
                 merged = np.concatenate([x, y])
                 merged.sort(kind="stable")
@@ -423,9 +423,15 @@ def near_copy_components(docs: DataFrame, width: int = WIDTH, percent: int = PER
 def drop_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One document of every component stays, that with the smallest id; all columns kept.
 
-    Rows of one doc_id count as one document of which one row stays. Documents
-    without words or id stay.
+    A doc_id goes if any of its rows is near to a smaller id. Of rows that repeat
+    id and text one stays. Documents without words or without id stay.
     """
-    near = near_copy_components(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(near, "doc_id", "left_anti")
-    return kept
+    rows = stage(near_copy_components(docs, width, percent), "components")
+    near = stage(rows.where("doc_id <> component_id").select("doc_id").distinct(), "nearcopies")
+    kept = docs.join(broadcast_checked(near), "doc_id", "left_anti").select(*docs.columns)
+    again = stage(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeatedids")
+    if again.isEmpty():
+        return kept
+    again = broadcast_checked(again)
+    single = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(single).select(*docs.columns)

@@ -126,19 +126,23 @@ class Written(WriterCommitMessage):
 
 
 class WarcReader(DataSourceReader):
-    """Equality filters on ``record_type``, ``page_id`` and ``payload_digest`` are taken over."""
+    """With option ``pushdown``, equality filters on ``record_type``, ``page_id`` and ``payload_digest`` are taken over.
+
+    Spark keeps a frame's reader once it has taken filters over, so a frame
+    with that option is for one set of filters.
+    """
 
     HEADERS = {"record_type": "warc-type", "page_id": "warc-page-id", "payload_digest": "warc-payload-digest"}
 
-    def __init__(self, schema, folder):
-        self.columns, self.folder, self.tests = schema.names, folder, []
+    def __init__(self, schema, folder, pushdown):
+        self.columns, self.folder, self.pushdown, self.tests = schema.names, folder, pushdown, []
         self.schema = schema
 
     def pushFilters(self, filters):
         for f in filters:
             column = getattr(f, "attribute", (None,))[0]
             values = [f.value] if isinstance(f, EqualTo) else list(f.value) if isinstance(f, In) else None
-            if column in self.HEADERS and values is not None and None not in values:
+            if self.pushdown and column in self.HEADERS and values is not None and None not in values:
                 prefix = "sha256:" if column == "payload_digest" else ""
                 self.tests.append((self.HEADERS[column], {f"{prefix}{v}" for v in values}))
             else:
@@ -235,20 +239,26 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(schema, self.options["path"])
+        return WarcReader(schema, self.options["path"], self.options.get("pushdown") == "true")
 
     def writer(self, schema, overwrite):
         return WarcWriter(self.options["path"], self.options.get("date", EPOCH), int(self.options.get("file_bytes", FILE_BYTES)))
 
 
-def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """Records of a folder; without ``payloads`` only headers are inflated."""
+def read_warc(spark: SparkSession, folder: str, payloads: bool = True, where=None) -> DataFrame:
+    """Records of a folder; without ``payloads`` only headers are inflated.
+
+    ``where`` is judged on headers while reading, so that payloads of other
+    records are jumped over.
+    """
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("warc")
     if not payloads:
         reader = reader.schema(SCHEMA.rsplit(",", 1)[0])
-    return reader.load(folder)
+    if where is None:
+        return reader.load(folder)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return reader.option("pushdown", "true").load(folder).where(where)
 
 
 # ---- pages ----------------------------------------------------------------------
