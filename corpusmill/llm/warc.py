@@ -252,12 +252,12 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True, where=Non
     records are jumped over.
     """
     spark.dataSource.register(WarcDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Spark asks for it as the reader can take filters
     reader = spark.read.format("warc")
     if not payloads:
         reader = reader.schema(SCHEMA.rsplit(",", 1)[0])
     if where is None:
         return reader.load(folder)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return reader.option("pushdown", "true").load(folder).where(where)
 
 
