@@ -72,7 +72,7 @@ def conversation_list(conversations: DataFrame, messages: DataFrame, limit: int
         conversations.join(counts, "conversation_id", "left")
         .withColumn("message_count", F.coalesce("message_count", F.lit(0)))
         .orderBy(F.desc("updated_at"), "conversation_id")
-        .limit(max(1, min(int(limit), 100)))
+        .limit(max(1, int(limit)))
     )
 
 
@@ -244,7 +244,7 @@ def redact(values: Column) -> Column:
         lambda key, value: F.when(
             key.rlike(SENSITIVE_KEY) & value.isNotNull(),
             F.concat(F.lit('{"redacted":true,"length":'), F.length(value).cast("string"), F.lit("}")),
-        ).otherwise(F.substring(value, 1, 500)),
+        ).otherwise(value),
     )
 
 

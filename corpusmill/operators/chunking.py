@@ -317,7 +317,7 @@ def markdown_sections(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(
         key,
         F.col("s.at").alias("line_no"),
-        F.coalesce(strip(F.substring(F.try_element_at(parent, F.lit(-1))["heading"], 4, 1_000_000)), F.lit("")).alias("parent_title"),
+        F.coalesce(strip(F.substr(F.try_element_at(parent, F.lit(-1))["heading"], F.lit(4))), F.lit("")).alias("parent_title"),
         strip(F.expr("substring(s.heading, 5)")).alias("title"),
         F.col("s.content").alias("content"),
     ).filter("title <> '' and content <> ''")
@@ -355,7 +355,7 @@ def delimited_sections(df: DataFrame, key: str, text: str, parent_title: str = "
 
 
 def narrative_sections(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Opening lines as one metadata section, then numbered / bracketed / chapter headings."""
+    """Lines before the first heading as one metadata section, then numbered / bracketed / chapter headings."""
     heading = lambda line: strip(line).rlike(NARRATIVE_HEADING)
     filled = df.select(key, F.filter(F.transform(lines_of(F.col(text)), strip), lambda line: line != "").alias("lines"))
     front = filled.filter(F.size("lines") > 0).select(
@@ -363,8 +363,11 @@ def narrative_sections(df: DataFrame, key: str, text: str) -> DataFrame:
         F.lit(0).alias("line_no"),
         F.lit("Narrative Text").alias("parent_title"),
         F.lit("文件開頭 / metadata").alias("title"),
-        F.array_join(F.slice("lines", 1, 12), "\n").alias("content"),
-    )
+        let(
+            F.array_position(F.transform("lines", heading), True),
+            lambda first: F.array_join(F.when(first > 0, F.slice(F.col("lines"), 1, (first - 1).cast("int"))).otherwise(F.col("lines")), "\n"),
+        ).alias("content"),
+    ).filter("content <> ''")
     rows = df.select(
         key,
         F.explode(

@@ -16,14 +16,25 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.vectors import dot, normalize
 from corpusmill.operators.sparse import RANK_DIGITS, top_k
 from corpusmill.session import fits_broadcast, spread
 
-HIT_SCHEMA = "query_id long, chunk_id long, score double"
 ROWS_PER_CELL = 100_000
 QUERIES_PER_BLOCK = 20_000
+# Questions multiplied at once: bounds the score block of a task.
+QUERIES_AT_ONCE = 256
+
+
+def _id_type(df: DataFrame, name: str) -> str:
+    return "long" if isinstance(df.schema[name].dataType, T.IntegralType) else "string"
+
+
+def _ids(values: pa.Array) -> np.ndarray:
+    """Ids as an array that sorts like Spark sorts them."""
+    return values.to_numpy(zero_copy_only=False) if pa.types.is_integer(values.type) else np.array(values.to_pylist(), dtype=str)
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -73,8 +84,8 @@ def dense_search(
     corpus = chunks.filter(F.col(vector).isNotNull())
     if allowed is not None:
         corpus = corpus.join(allowed.select("source_id").distinct(), "source_id", "left_semi")
-    corpus = corpus.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col(vector).alias("embedding"))
-    wanted = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(vector).alias("embedding"))
+    corpus = corpus.select(F.col("chunk_id").cast(_id_type(corpus, "chunk_id")).alias("chunk_id"), F.col(vector).alias("embedding"))
+    wanted = queries.select(F.col("query_id").cast(_id_type(queries, "query_id")).alias("query_id"), F.col(vector).alias("embedding"))
     if fits_broadcast(wanted):
         hits = _broadcast_search(wanted, corpus, k)
     else:
@@ -82,12 +93,24 @@ def dense_search(
     return top_k(hits, ("query_id",), k, "score", "chunk_id")
 
 
+def _hit_schema(wanted: DataFrame, corpus: DataFrame) -> str:
+    return f"query_id {_id_type(wanted, 'query_id')}, chunk_id {_id_type(corpus, 'chunk_id')}, score double"
+
+
+def _block_best(query_ids, query_matrix, ids, block, k):
+    """Best ``k`` rows of a block per query, a bounded number of queries at a time."""
+    parts = [slice(a, a + QUERIES_AT_ONCE) for a in range(0, len(query_ids), QUERIES_AT_ONCE)]
+    found = [_best(query_ids[p], ids, query_matrix[p] @ block.T, k) for p in parts]
+    return pd.DataFrame({name: np.concatenate([f[i] for f in found]) for i, name in enumerate(("query_id", "chunk_id", "score"))})
+
+
 def _broadcast_search(wanted: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    schema = _hit_schema(wanted, corpus)
     # Bounded by the measurement in dense_search.
     rows = wanted.orderBy("query_id").toArrow()
     if rows.num_rows == 0:
-        return corpus.sparkSession.createDataFrame([], HIT_SCHEMA)
-    ids = rows.column("query_id").to_numpy()
+        return corpus.sparkSession.createDataFrame([], schema)
+    ids = _ids(rows.column("query_id").combine_chunks())
     matrix = _unit_rows(_matrix(rows.column("embedding").combine_chunks()))
     shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
 
@@ -97,15 +120,14 @@ def _broadcast_search(wanted: DataFrame, corpus: DataFrame, k: int) -> DataFrame
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            ids_here = batch.column(0).to_numpy()
+            ids_here = _ids(batch.column(0))
             block = _unit_rows(_matrix(batch.column(1)))
-            q, c, s = _best(query_ids, ids_here, query_matrix @ block.T, k)
-            frame = pd.DataFrame({"query_id": q, "chunk_id": c, "score": s})
+            frame = _block_best(query_ids, query_matrix, ids_here, block, k)
             best = frame if best is None else _merge_best(pd.concat([best, frame]), k)
         if best is not None:
             yield pa.RecordBatch.from_pandas(best.reset_index(drop=True), preserve_index=False)
 
-    return spread(corpus, "chunk_id").mapInArrow(score, HIT_SCHEMA)
+    return spread(corpus, "chunk_id").mapInArrow(score, schema)
 
 
 def _grid_search(wanted: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -125,15 +147,10 @@ def _grid_search(wanted: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
             return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
         query_matrix = _unit_rows(np.stack(q["embedding"].to_numpy()).astype(np.float64))
         matrix = _unit_rows(np.stack(c["embedding"].to_numpy()).astype(np.float64))
-        ids, out = c["chunk_id"].to_numpy(), []
-        for start in range(0, len(q), 256):
-            part = slice(start, start + 256)
-            out.append(_best(q["query_id"].to_numpy()[part], ids, query_matrix[part] @ matrix.T, k))
-        return pd.DataFrame(
-            {name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("query_id", "chunk_id", "score"))}
-        )
-
-    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(score, HIT_SCHEMA)
+        query_ids, ids = (_ids(pa.array(side)) for side in (q["query_id"], c["chunk_id"]))
+        return _block_best(query_ids, query_matrix, ids, matrix, k)
+
+    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(score, _hit_schema(wanted, corpus))
 
 
 def scoped_dense_search(

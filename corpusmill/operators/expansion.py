@@ -70,11 +70,14 @@ def sentence_pairs(units: DataFrame, keys: tuple[str, ...], order: str, content:
     return singles.unionByName(pairs).filter(F.length("content") >= min_chars)
 
 
-def normalize_contexts(contexts: DataFrame, max_contexts: int = 12, max_chars: int = 2600) -> DataFrame:
-    """Contexts without blanks, at prompt size, renumbered."""
-    kept = contexts.filter(F.trim(text_of("content")) != "").withColumn("content", F.substring("content", 1, max_chars))
+def normalize_contexts(contexts: DataFrame, max_contexts: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Contexts without blanks, renumbered; cut to a prompt's size only when asked."""
+    kept = contexts.filter(F.trim(text_of("content")) != "")
+    if max_chars is not None:
+        kept = kept.withColumn("content", F.substring("content", 1, max_chars))
     order = W.partitionBy("query_id").orderBy("rank")
-    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_contexts)
+    kept = kept.withColumn("rank", F.row_number().over(order))
+    return kept if max_contexts is None else kept.filter(F.col("rank") <= max_contexts)
 
 
 def preserve_anchors(ranked: DataFrame, keyword: DataFrame, k: int) -> DataFrame:

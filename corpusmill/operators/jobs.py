@@ -29,7 +29,7 @@ def due(now: Column, redispatch_seconds: int = 90) -> Column:
 
 def dispatchable(jobs: DataFrame, now: Column, limit: int = 100, redispatch_seconds: int = 90) -> DataFrame:
     """Oldest due jobs (a top-k, not a sort of the table)."""
-    return jobs.filter(due(now, redispatch_seconds)).orderBy("created_at", "job_id").limit(max(1, min(int(limit), 1000)))
+    return jobs.filter(due(now, redispatch_seconds)).orderBy("created_at", "job_id").limit(max(1, int(limit)))
 
 
 def claimable(now: Column, worker: Column) -> Column:
@@ -143,5 +143,5 @@ def expired_uploads(sessions: DataFrame, now: Column, limit: int = 100, grace_se
     return (
         sessions.filter(F.col("state").isin(*CLEANABLE) & (F.col("expires_at") <= cutoff))
         .orderBy("expires_at", "upload_id")
-        .limit(max(1, min(int(limit), 1000)))
+        .limit(max(1, int(limit)))
     )

@@ -14,18 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusmill.functions.text import char_ngrams, compact, find_all, keyword_tokens, let, multi_ngrams, text_of
-from corpusmill.operators.dense import HIT_SCHEMA, _best, _merge_best
+from corpusmill.operators.dense import _best, _hit_schema, _ids, _merge_best
 from corpusmill.operators.expansion import preserve_anchors
 from corpusmill.operators.sparse import top_k
 from corpusmill.session import BROADCAST_LIMIT_BYTES, fits_broadcast, salted_join, spread
 
 GRAM_SIZES = (4, 3, 2)
 MATRIX_LIMIT_BYTES = 4 * BROADCAST_LIMIT_BYTES
+# What Spark takes for white space; Python's own set is larger.
+_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _TOKENS = re.compile(r"[A-Za-z0-9_,.]+")
 _CJK = re.compile(r"[一-鿿]{2,}")
 
@@ -61,10 +64,11 @@ def _matrix_bytes(grams: DataFrame, queries: DataFrame) -> int:
 def _matrix_search(grams: DataFrame, tokens: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     # Bounded by the measurement in keyword_search; tokens are fewer than grams.
     g, t = grams.toPandas(), tokens.toPandas()
-    ids = np.array(sorted(set(g["query_id"]) | set(t["query_id"])), dtype=np.int64)
+    schema = _hit_schema(grams, chunks)
+    ids = np.array(sorted(set(g["query_id"]) | set(t["query_id"])))
     if len(ids) == 0:
-        return chunks.sparkSession.createDataFrame([], HIT_SCHEMA)
-    column = {q: i for i, q in enumerate(ids)}
+        return chunks.sparkSession.createDataFrame([], schema)
+    column = {q: i for i, q in enumerate(ids.tolist())}
 
     def table(frame: pd.DataFrame, value: str):
         keys = {key: i for i, key in enumerate(frame["key"].unique())}
@@ -84,7 +88,7 @@ def _matrix_search(grams: DataFrame, tokens: DataFrame, chunks: DataFrame, k: in
         for frame in batches:
             scores = np.zeros((len(query_ids), len(frame)))
             for i, text in enumerate(frame["content"].fillna("")):
-                body = "".join(text.split())
+                body = _SPACE.sub("", text)
                 have = {body[p : p + n] for n in GRAM_SIZES for p in range(len(body) - n + 1)}
                 rows = [gram_row[x] for x in have if x in gram_row]
                 if rows:
@@ -102,13 +106,13 @@ def _matrix_search(grams: DataFrame, tokens: DataFrame, chunks: DataFrame, k: in
                 ]
                 if loose:
                     scores[:, i] += token_times[loose].sum(axis=0)
-            q, c, s = _best(query_ids, frame["chunk_id"].to_numpy(), scores, k)
+            q, c, s = _best(query_ids, _ids(pa.array(frame["chunk_id"])), scores, k)
             hits = pd.DataFrame({"query_id": q, "chunk_id": c, "score": s})
             best = hits if best is None else _merge_best(pd.concat([best, hits]), k)
         if best is not None:
             yield best
 
-    return spread(chunks, "chunk_id").mapInPandas(score, HIT_SCHEMA)
+    return spread(chunks, "chunk_id").mapInPandas(score, schema)
 
 
 def _join_search(grams: DataFrame, tokens: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -195,8 +195,8 @@ def _peel(term: Column) -> Column:
     return out
 
 
-def compound_subterms(terms: Column, depth: int = 4) -> Column:
-    """Bases and suffixes of compound terms, peeled repeatedly (24-character terms end sooner)."""
+def compound_subterms(terms: Column) -> Column:
+    """Bases and suffixes of compound terms, peeled until nothing peels; each step shortens the term."""
 
     def peel_all(term: Column) -> Column:
         start = F.struct(
@@ -212,7 +212,7 @@ def compound_subterms(terms: Column, depth: int = 4) -> Column:
                 ).otherwise(F.struct(F.lit("").alias("rest"), state["found"].alias("found"))),
             )
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step, lambda s: s["found"])
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(term), F.lit(1))), start, step, lambda s: s["found"])
 
     return F.flatten(F.transform(terms, peel_all))
 
@@ -411,8 +411,8 @@ def core_terms(text: Column) -> Column:
 
 
 def sanitize_rewrite(question: Column, rewrite: Column) -> Column:
-    """Keep a rewrite of at most 500 characters only if it shares a 2-4 character gram."""
-    tidy = strip(F.substring(clean_spaces(rewrite), 1, 500))
+    """Keep a rewrite only if it shares a 2-4 character gram."""
+    tidy = strip(clean_spaces(rewrite))
     dense = F.regexp_replace(tidy, r"(?U)\s+", "")
     shared = let(dense, lambda d: F.exists(core_terms(question), lambda t: F.contains(d, t)))
     return F.when((tidy != "") & shared, tidy).otherwise(text_of(question))

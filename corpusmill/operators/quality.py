@@ -105,7 +105,7 @@ def uncited_claims(answer: Column) -> Column:
         lines,
         lambda s: (s != "") & ~F.contains(s, F.lit("來源：")) & ~s.rlike(r"^\[\d+\](?:\s*[,，、]\s*\[\d+\])*$") & ~F.contains(s, F.lit("[")),
     )
-    return F.slice(F.transform(kept, lambda s: F.substring(s, 1, 500)), 1, 20)
+    return kept
 
 
 def grounded_answer(status: Column, answer: Column, fallback: str) -> Column:
@@ -120,7 +120,7 @@ def citations(answers: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def claims(answer: Column) -> Column:
-    """``array<struct<claim,ranks>>``: at most 40 substantive statements."""
+    """``array<struct<claim,ranks>>``: all substantive statements, whole."""
 
     def tidy(raw: Column) -> Column:
         plain = F.regexp_replace(F.regexp_replace(raw, r"(?U)^\s*[-•*#]+\s*", ""), r"[*_`]+", "")
@@ -138,12 +138,10 @@ def claims(answer: Column) -> Column:
             F.transform(F.regexp_extract_all(raw, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda d: d.try_cast("int")).alias("ranks"),
         ),
     )
-    good = F.filter(
+    return F.filter(
         rows,
         lambda r: (F.length(r["claim"]) >= 3) & ~r["claim"].isin(*LABELS) & ~r["claim"].rlike(META_CLAIM) & ~r["claim"].rlike(ABSTENTION),
     )
-    cut = F.transform(good, lambda r: F.struct(F.substring(r["claim"], 1, 800).alias("claim"), r["ranks"].alias("ranks")))
-    return F.slice(cut, 1, 40)
 
 
 def claim_support(

@@ -70,7 +70,7 @@ def feature_rerank(
     )
     if "matched_terms" in candidates.columns:
         scored = scored.withColumn(
-            "matched_terms", F.slice(F.array_distinct(F.concat("matched_terms", "_covered")), 1, 20)
+            "matched_terms", F.array_distinct(F.concat("matched_terms", "_covered"))
         )
     previous = F.col("rank") if "rank" in candidates.columns else F.lit(0)
     window = W.partitionBy(*keys).orderBy(F.round("rerank_score", RANK_DIGITS).desc(), previous.asc(), F.asc("chunk_id"))
@@ -119,11 +119,9 @@ def routed_rerank(candidates: DataFrame, k: int, reranked: Callable[[DataFrame],
 
 
 def rerank_terms(text: Column) -> Column:
-    """Up to 24 distinct terms of a question worth matching."""
+    """Distinct terms of a question worth matching."""
     words = F.transform(find_all(text, r"[A-Za-z0-9_.-]+|[\x{4e00}-\x{9fff}]{2,}"), F.lower)
-    return F.slice(
-        F.array_distinct(F.filter(words, lambda t: (F.length(t) >= 2) & ~t.isin(*RERANK_STOP_TERMS))), 1, 24
-    )
+    return F.array_distinct(F.filter(words, lambda t: (F.length(t) >= 2) & ~t.isin(*RERANK_STOP_TERMS)))
 
 
 def phrase_terms(text: Column) -> Column:
@@ -146,9 +144,9 @@ def covered_count(terms: Column, compact_text: Column) -> Column:
 def coverage_boost(
     candidates: DataFrame, weight: float = 0.20, question: str = "query_text", rewritten: str | None = None, chunk_text: str = "chunk_text"
 ) -> DataFrame:
-    """Add ``weight * covered / terms`` for up to 48 question terms."""
+    """Add ``weight * covered / terms`` over the question's terms."""
     both = F.concat_ws(" ", F.col(question), F.col(rewritten)) if rewritten else F.col(question)
-    terms = F.slice(F.array_distinct(F.concat(rerank_terms(both), phrase_terms(F.col(question)))), 1, 48)
+    terms = F.array_distinct(F.concat(rerank_terms(both), phrase_terms(F.col(question))))
     boosted = candidates.withColumn("_t", terms)
     share = F.when(
         F.size("_t") > 0, covered_count(F.col("_t"), compact(F.col(chunk_text))) / F.size("_t")

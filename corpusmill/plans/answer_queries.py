@@ -221,10 +221,10 @@ CLEAN_CLAIM = trim_sql(
 CLAIM_SQL = rf"""{ANSWER_SQL},
     sg AS (SELECT run_id, unnest(range(1, len(ss) + 1)) AS i, {trim_sql('unnest(ss)')} AS raw FROM (SELECT run_id, string_split_regex(answer, '[\r\n]+') AS ss FROM an)),
     cl AS (SELECT run_id, i, {CLEAN_CLAIM} AS claim FROM sg WHERE raw <> ''),
-    ck AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY i) - 1 AS claim_no, substr(claim, 1, 800) AS claim FROM cl WHERE length(claim) >= 3 AND NOT regexp_matches(claim, '^[|\-: ]+$')),
+    ck AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY i) - 1 AS claim_no, claim FROM cl WHERE length(claim) >= 3 AND NOT regexp_matches(claim, '^[|\-: ]+$')),
     sp AS (SELECT c.run_id, claim_no, len(list_intersect(list_distinct({Q.tokens('claim')}), list_distinct({Q.tokens('content')}))) / greatest(len(list_distinct({Q.tokens('claim')})), 1) AS lex,
       contains(regexp_replace(lower(content), '[\s　，。；：、！？（）()「」『』\[\],.!?]', '', 'g'), regexp_replace(lower(claim), '[\s　，。；：、！？（）()「」『』\[\],.!?]', '', 'g')) AS verb
-      FROM ck c JOIN cx USING (run_id) WHERE claim_no < 40)"""
+      FROM ck c JOIN cx USING (run_id))"""
 
 
 @query(

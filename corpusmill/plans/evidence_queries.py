@@ -130,10 +130,10 @@ def retrieval_plans(spark, sf_dir):
         rw AS (SELECT query_id, list_filter(list_transform(regexp_extract_all(q, '[A-Za-z0-9_.-]+|[一-鿿]{{2,}}'), lambda x: lower(x)), lambda x: length(x) >= 2) AS ws, s FROM dn),
         t0 AS (SELECT query_id, unnest(ws) AS t, unnest(range(1, len(ws) + 1)) AS i FROM rw),
         t1 AS (SELECT query_id, t, min(i) AS i FROM t0 GROUP BY ALL),
-        t2 AS (SELECT * FROM (SELECT query_id, t, i, row_number() OVER (PARTITION BY query_id ORDER BY i) AS r FROM t1) WHERE r <= 24),
+        t2 AS (SELECT * FROM (SELECT query_id, t, i, row_number() OVER (PARTITION BY query_id ORDER BY i) AS r FROM t1)),
         p0 AS (SELECT query_id, substr(s, n, 4) AS t, 1000 + n AS i FROM rw, unnest(range(1, greatest(length(s) - 2, 1))) x(n) UNION ALL SELECT query_id, substr(s, n, 3), 1000000 + n FROM rw, unnest(range(1, greatest(length(s) - 1, 1))) x(n)),
         al AS (SELECT query_id, t, min(i) AS i FROM (SELECT query_id, t, i FROM t2 UNION ALL SELECT query_id, t, i FROM p0) GROUP BY ALL),
-        tm AS (SELECT * FROM (SELECT query_id, t, row_number() OVER (PARTITION BY query_id ORDER BY i) AS r FROM al) WHERE r <= 48),
+        tm AS (SELECT * FROM (SELECT query_id, t, row_number() OVER (PARTITION BY query_id ORDER BY i) AS r FROM al)),
         cd AS (SELECT bm.query_id, chunk_id, score, lower(regexp_replace(d.text, '\s+', '', 'g')) AS body FROM bm JOIN documents d ON d.doc_id = chunk_id),
         cv AS (SELECT cd.query_id, chunk_id, any_value(score) AS score, count(*) FILTER (WHERE contains(body, lower(t))) / count(*) AS cov FROM cd JOIN tm USING (query_id) GROUP BY cd.query_id, chunk_id)
         SELECT query_id, chunk_id, round(cov, 6) AS coverage, round(score + 0.20 * cov, 6) AS score FROM cv""",

@@ -39,8 +39,12 @@ def build_corpus(children: DataFrame, parents: DataFrame, factory: Callable[[],
 
 
 def _clamp_k(settings: Settings, top_k: int | None, candidate_k: int | None) -> tuple[int, int]:
-    k = max(1, min(int(top_k or settings.hybrid_top_k), settings.hybrid_max_top_k))
-    return k, max(k, min(int(candidate_k or settings.hybrid_candidate_k), settings.hybrid_max_candidate_k))
+    """The caller's values as they are; only values of the settings obey the settings' bounds."""
+    k = int(top_k) if top_k else min(settings.hybrid_top_k, settings.hybrid_max_top_k)
+    pool = int(candidate_k) if candidate_k else min(settings.hybrid_candidate_k, settings.hybrid_max_candidate_k)
+    if k < 1 or pool < 1:
+        raise ValueError("top_k and candidate_k must be positive")
+    return k, max(k, pool)
 
 
 def retrieve(
@@ -75,13 +79,16 @@ def retrieve(
     lexical = sparse.bm25_search(
         planned, corpus.index, pool, keys=keys, k1=settings.hybrid_bm25_k1, b=settings.hybrid_bm25_b, allowed=allowed, with_terms=True
     )
-    # Dense search takes one id per planned query.
-    numbered = planned.withColumn("query_id", F.col("query_id") * 16 + F.col("variant")).withColumn("embedding", embed(F.col("text"), embedder))
+    # Dense search takes one id per planned query: both parts as text, whatever their size.
+    pair = F.concat_ws(":", F.col("variant"), F.col("query_id"))
+    numbered = planned.select(pair.alias("query_id"), embed(F.col("text"), embedder).alias("embedding"))
     near = dense.dense_search(numbered, corpus.chunks.select("chunk_id", "source_id", "embedding"), pool, allowed=allowed)
-    near = near.withColumn("variant", F.pmod("query_id", F.lit(16)).cast("int")).withColumn("query_id", F.floor(F.col("query_id") / 16).cast("long"))
-    lists = fusion.as_list(lexical, F.col("variant"), "bm25").unionByName(fusion.as_list(near, F.col("variant") + 16, "embedding"))
+    near = near.withColumn("variant", F.substring_index("query_id", ":", 1).cast("int")).withColumn(
+        "query_id", F.expr("substring(query_id, instr(query_id, ':') + 1)").cast(planned.schema["query_id"].dataType)
+    )
+    lists = fusion.as_list(lexical, F.col("variant"), "bm25").unionByName(fusion.as_list(near, F.col("variant") + limit, "embedding"))
     fused = fusion.weighted_rrf(
-        lists, settings.hybrid_rrf_k, settings.keyword_weight, settings.embedding_weight, limit=min(100, max(k, pool))
+        lists, settings.hybrid_rrf_k, settings.keyword_weight, settings.embedding_weight, limit=max(k, pool)
     )
     if settings.hybrid_fusion_method == "lambdamart":
         fused = fusion.rank_map_fusion(fused, settings.keyword_weight, settings.embedding_weight)
@@ -96,8 +103,8 @@ def retrieve(
         "chunk_id", "child_id", "parent_id", "title", "page", "source_id", "content",
         indexed_text(F.col("parent_title"), F.col("title"), F.col("source_id"), F.col("page"), F.col("content")).alias("full_text"),
     )
-    # At most 100 candidates per question go to the texts; the corpus is not shuffled.
-    few = broadcast_bounded(fused.join(answer_text, "query_id").join(routed, "query_id"), questions.count() * 100, 2000)
+    # A pool of candidates per question goes to the texts; the corpus is not shuffled.
+    few = broadcast_bounded(fused.join(answer_text, "query_id").join(routed, "query_id"), questions.count() * max(k, pool), 2000)
     candidates = texts.join(few, "chunk_id")
 
     def second_stage(part: DataFrame) -> DataFrame:

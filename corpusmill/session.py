@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,7 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for ``DataFrame.checkpoint``.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; only when
-    that is unset (a single machine, as in tests) do we pick a folder ourselves.
+    that is unset on a single machine, as in tests, do we pick a folder ourselves.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -45,7 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="corpusmill-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -111,13 +116,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash rows over all cores when the input has fewer files than cores.
+    """Hash rows over all cores when the scan is planned in fewer tasks than cores.
 
-    A small table in one file would be read by one task. Large inputs have more
-    files than cores and pass through untouched, so nothing is shuffled.
+    A small table in one file would be read by one task. Larger inputs have more
+    scan tasks than cores and pass through untouched, so nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

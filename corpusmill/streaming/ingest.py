@@ -60,7 +60,9 @@ def ingest_batch(files: DataFrame, root: str, pdf_reader=None, ocr=None) -> None
     children.write.mode("append").parquet(f"{root}/children")
     warnings.write.mode("append").parquet(f"{root}/warnings")
     # Written last: a batch that failed half-way is repeated as a whole.
-    checked.filter("problem IS NULL").select("source_id", "filename", "kind").write.mode("append").parquet(f"{root}/documents")
+    unread = warnings.filter(F.startswith("warning", F.lit("no reader"))).select("source_id")
+    done = checked.filter("problem IS NULL").join(unread, "source_id", "left_anti")  # read again once there is a reader
+    done.select("source_id", "filename", "kind").write.mode("append").parquet(f"{root}/documents")
 
 
 def start_ingest(files: DataFrame, root: str, checkpoint: str, once: bool = False, **options):
