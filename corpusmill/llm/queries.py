@@ -33,11 +33,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op2_impact_topk",
     """
     WITH v AS (
-      SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-      WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     ), s AS (
       SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-             CAST(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])) AS BIGINT) AS score
+             CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
     ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
@@ -109,7 +109,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.tile_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-@query("op7_jaccard_join")
+@query(
+    "op7_jaccard_join",
+    rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urlrank.UPPER}', '{urlrank.LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) t(i) WHERE len(ws) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+    both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, b.y FROM r JOIN both_ways b ON b.x = r.other)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id
+    FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS m FROM r GROUP BY 1) USING (doc_id)
+    """,
+)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copy_components(read_table(spark, sf_dir, "documents"))
 
