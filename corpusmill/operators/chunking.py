@@ -7,6 +7,10 @@ boundary windows) use a small Arrow helper that computes offsets.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,49 +47,57 @@ def split_hard(text: Column, size: int) -> Column:
 
 @F.pandas_udf(WINDOWS)
 def _pack(counts: pd.Series, budgets: pd.Series, overlaps: pd.Series) -> pd.Series:
-    """Windows ``[first, last)`` over sentences filling a token budget greedily."""
+    """Windows ``[first, last)`` over sentences, each as long as its token budget allows.
+
+    Ends and overlaps are looked up in the running sum of the counts.
+    """
 
     def windows(sizes, budget, overlap):
-        out, first, n = [], 0, len(sizes)
+        n = len(sizes)
+        upto = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
+        out, first = [], 0
         while first < n:
-            last, used = first, 0
-            while last < n and (last == first or used + sizes[last] <= budget):
-                used += sizes[last]
-                last += 1
-                if used >= budget:
-                    break
-            out.append({"first": int(first), "last": int(last)})
+            full = int(np.searchsorted(upto, upto[first] + budget, "left"))
+            exact = full <= n and upto[full] == upto[first] + budget
+            last = min(n, max(first + 1, full if exact else full - 1))
+            out.append({"first": first, "last": last})
             if last == n:
                 break
-            back, carried = last, 0
-            while back > first and carried + sizes[back - 1] <= overlap:
-                carried += sizes[back - 1]
-                back -= 1
-            first = last if back == last or overlap <= 0 else max(first + 1, min(back, last - 1))
+            shared = int(np.searchsorted(upto, upto[last] - overlap, "left")) if overlap > 0 else last
+            first = last if shared == last else max(first + 1, min(shared, last - 1))
         return out
 
     return pd.Series([windows(c, b, o) for c, b, o in zip(counts, budgets, overlaps)])
 
 
+# Where a window may end, by the number of characters of the mark.
+BREAKS = {1: re.compile("[\n。]"), 2: re.compile(r"\. ")}
+
+
 @F.pandas_udf(WINDOWS)
 def _boundary(texts: pd.Series, sizes: pd.Series, strides: pd.Series) -> pd.Series:
-    """Character windows pulled back to a line or sentence end in their last third."""
+    """Character windows that end after the last line or sentence mark of their last third.
+
+    The marks of a text are found once; each window looks its own up by binary search.
+    """
 
     def windows(text, size, stride):
-        n = len(text)
-        if n <= size:
-            return [{"first": 0, "last": n}] if n else []
-        out, first = [], 0
-        while True:
-            last = min(n, first + size)
-            if last < n:
-                floor = first + int(size * 0.65)
-                cut = max(text.rfind(mark, floor, last) for mark in ("\n", "。", ". "))
-                last = cut + 1 if cut >= floor else last
-            out.append({"first": first, "last": last})
-            if last >= n:
-                return out
+        marks = {width: [m.start() for m in pattern.finditer(text)] for width, pattern in BREAKS.items()}
+
+        def end_of(first):
+            limit = first + size
+            if limit >= len(text):
+                return len(text)
+            latest = [at[k - 1] for width, at in marks.items() if (k := bisect_right(at, limit - width))]
+            best = max(latest, default=-1)
+            return best + 1 if best >= first + int(size * 0.65) else limit
+
+        spans = [(0, end_of(0))] if text else []
+        while spans and spans[-1][1] < len(text):
+            first, last = spans[-1]
             first = max(first + 1, min(first + stride, last))
+            spans.append((first, end_of(first)))
+        return [{"first": a, "last": b} for a, b in spans]
 
     return pd.Series([windows(t, int(s), int(d)) for t, s, d in zip(texts, sizes, strides)])
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -81,60 +80,43 @@ def normalize_contexts(contexts: DataFrame, max_contexts: int | None = None, max
 
 
 def preserve_anchors(ranked: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
-    """Swap strong keyword hits into the top ``k``, evicting the weakest entry.
+    """The best ``k`` by keyword score among the fused top ``k`` and strong keyword hits.
 
     ``ranked(query_id, chunk_id, score, rank)``, ``keyword(query_id, chunk_id,
-    keyword_score, keyword_rank)``. Only the first k fused rows and the first
-    max(k, 8) keyword rows of a query take part, so a group is bounded.
+    keyword_score, keyword_rank)``. A hit is strong among the first max(k, 8)
+    keyword rows when it has 12 points and 55 % of the best. The result is
+    ordered by fused score.
     """
-    depth = max(k, 8)
-    pool = (
-        ranked.join(keyword, ["query_id", "chunk_id"], "left")
-        .withColumn("max_keyword", F.max("keyword_score").over(W.partitionBy("query_id")))
-        .filter((F.col("rank") <= k) | (F.col("keyword_rank") <= depth))
-        .select("query_id", "chunk_id", "score", "rank", F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"), "keyword_rank", "max_keyword")
-    )
+    query = W.partitionBy("query_id")
+    pool = ranked.join(keyword, ["query_id", "chunk_id"], "left").withColumn("most", F.max("keyword_score").over(query))
+    strong = (F.col("keyword_rank") <= max(k, 8)) & (F.col("keyword_score") >= F.greatest(F.lit(12.0), 0.55 * F.col("most")))
+    by_words = query.orderBy(F.coalesce("keyword_score", F.lit(0.0)).desc(), F.desc("score"), "rank")
+    kept = pool.filter((F.col("rank") <= k) | strong).withColumn("_n", F.row_number().over(by_words)).filter(F.col("_n") <= k)
+    return kept.select("query_id", "chunk_id", "score", F.row_number().over(query.orderBy(F.desc("score"), "rank")).alias("position"))
 
-    def swap(frame: pd.DataFrame) -> pd.DataFrame:
-        top = frame["max_keyword"].max()
-        chosen = frame[frame["rank"] <= k].sort_values("rank").to_dict("records")
-        if top and top > 0:
-            for row in frame[frame["keyword_rank"].notna()].sort_values("keyword_rank").to_dict("records"):
-                if row["keyword_score"] < max(12.0, 0.55 * top) or any(c["chunk_id"] == row["chunk_id"] for c in chosen):
-                    continue
-                chosen.append(row)
-                if len(chosen) > k:
-                    chosen.remove(min(chosen, key=lambda c: (c["keyword_score"] / top, c["score"])))
-        chosen.sort(key=lambda c: -c["score"])
-        out = pd.DataFrame(chosen, columns=frame.columns)[["query_id", "chunk_id", "score"]]
-        return out.assign(position=range(1, len(out) + 1))
 
-    schema = f"query_id {dict(ranked.dtypes)['query_id']}, chunk_id {dict(ranked.dtypes)['chunk_id']}, score double, position int"
-    return pool.groupBy("query_id").applyInPandas(swap, schema)
+def without_near_copies(units: Column, limit: int, ratio: float) -> Column:
+    """The first ``limit`` of ordered units that are no near copies of earlier kept ones.
 
+    Elements carry ``dense``, their text without blanks. A unit is a near copy
+    when a kept one contains it, or when it contains a kept one that makes up
+    ``ratio`` of it.
+    """
 
-def drop_near_copies(ranked: DataFrame, limit: int, ratio: float = 0.8) -> DataFrame:
-    """Greedy selection that skips units contained in an already selected one.
+    def near(new: Column, old: Column) -> Column:
+        inside = F.contains(new["dense"], old["dense"]) & (old["dense"] != "")
+        return F.contains(old["dense"], new["dense"]) | (inside & (F.length(old["dense"]) >= ratio * F.length(new["dense"])))
 
-    A unit also goes when it contains a selected one covering ``ratio`` of it.
-    ``ranked(query_id, unit_index, score, content)``; units come from a bounded
-    set of contexts per query.
-    """
-    slim = ranked.select("query_id", "unit_index", "score", "content", compact(F.col("content")).alias("dense"))
-
-    def select(frame: pd.DataFrame) -> pd.DataFrame:
-        taken: list[dict] = []
-        for row in frame.sort_values(["score", "unit_index"], ascending=[False, True]).to_dict("records"):
-            dense = row["dense"]
-            near = any(
-                dense in t["dense"] or (t["dense"] and t["dense"] in dense and len(t["dense"]) / len(dense) >= ratio) for t in taken
-            )
-            if not near:
-                taken.append(row)
-            if len(taken) >= max(1, limit):
-                break
-        out = pd.DataFrame(taken, columns=frame.columns)[["query_id", "unit_index", "score", "content"]]
-        return out.assign(position=range(1, len(out) + 1))
-
-    schema = f"query_id {dict(ranked.dtypes)['query_id']}, unit_index {dict(ranked.dtypes)['unit_index']}, score double, content string, position int"
-    return slim.groupBy("query_id").applyInPandas(select, schema)
+    def add(kept: Column, new: Column) -> Column:
+        refuse = (F.size(kept) >= max(1, limit)) | F.exists(kept, lambda old: near(new, old))
+        return F.when(refuse, kept).otherwise(F.concat(kept, F.array(new)))
+
+    return F.aggregate(units, F.filter(units, lambda _: F.lit(False)), add)
+
+
+def drop_near_copies(ranked: DataFrame, limit: int, ratio: float = 0.8) -> DataFrame:
+    """Best units per query without near copies; ``ranked(query_id, unit_index, score, content)``."""
+    unit = F.struct((-F.col("score")).alias("order"), "unit_index", "score", "content", compact(F.col("content")).alias("dense"))
+    grouped = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(unit)).alias("units"))
+    rows = grouped.select("query_id", F.posexplode(without_near_copies(F.col("units"), limit, ratio)).alias("at", "u"))
+    return rows.select("query_id", "u.unit_index", "u.score", "u.content", (F.col("at") + 1).alias("position"))
