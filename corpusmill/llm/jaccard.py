@@ -28,12 +28,13 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.session import broadcast_checked, stage
@@ -51,11 +52,26 @@ KNOWN_SETS = 200_000
 SLICE = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
+# Rows that travel to Python at once: sets are kilobytes each.
+BATCH_ROWS = 2000
+
 SETS = "kind int, doc_id long, n long, key long, grams binary, counts binary"
 ENTRIES = "entry long, key long, n long, pos long, head long, head_n long, head_pos long"
 POSTINGS = "entry long, pos long, n long, key long"
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Arrow batches of ``BATCH_ROWS`` rows for what runs inside; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _batch(arrays, spec: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in spec.split(", ")])
 
@@ -410,8 +426,9 @@ def similar_sets(sets: DataFrame, percent: int = PERCENT, frequent: int = FREQUE
 
 def near_copy_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id`` (smallest doc_id linked, directly or not)."""
-    sets = stage(shingle_sets(docs, width), "sets")
-    groups = components(similar_sets(sets, percent, frequent)).withColumnRenamed("node", "key")
+    with _small_batches(docs.sparkSession):
+        sets = stage(shingle_sets(docs, width), "sets")
+        groups = components(similar_sets(sets, percent, frequent)).withColumnRenamed("node", "key")
     rows = sets.where("kind = 0").select("doc_id", "n", "key")
     keys = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = keys.join(groups, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
