@@ -28,13 +28,12 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.session import broadcast_checked, stage
@@ -46,32 +45,18 @@ PERCENT = 75
 FREQUENT = 256
 PAIRED = 64
 CLASS_BITS, ENTRY_BITS = 24, 27
+PARITY_BITS = 2048
 COUNT_TOKENS = 1_000_000
 KNOWN_WORDS = 200_000
 KNOWN_SETS = 200_000
 SLICE = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
-# Rows that travel to Python at once: sets are kilobytes each.
-BATCH_ROWS = 2000
-
 SETS = "kind int, doc_id long, n long, key long, grams binary, counts binary"
 ENTRIES = "entry long, key long, n long, pos long, head long, head_n long, head_pos long"
 POSTINGS = "entry long, pos long, n long, key long"
 
 
-@contextmanager
-def _small_batches(spark: SparkSession):
-    """Arrow batches of ``BATCH_ROWS`` rows for what runs inside; the session's setting comes back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _batch(arrays, spec: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in spec.split(", ")])
 
@@ -354,13 +339,52 @@ def _may_link(n1, p1, n2, p2, percent: int):
     return size & ((100 + percent) * left >= percent * (n1 + n2))
 
 
+def _needed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``key, grams`` of the sets in ``pairs``, one row each."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    return _listed(sets).join(broadcast_checked(keys), "key", "left_semi").groupBy("key").agg(F.any_value("grams").alias("grams"))
+
+
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Bits that are set where an odd number of hashes falls."""
+    slot = (grams >> np.uint64(20)) & np.uint64(PARITY_BITS - 1)
+    return np.packbits((np.bincount(slot.astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8))
+
+
+def not_excluded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that parity bits do not rule out.
+
+    Two sets differ in at least as many elements as their parity bits differ,
+    so half of what remains of both sizes bounds the common ones. A pair travels
+    with some hundred bytes here instead of two sets.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets_here = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in batch.column(1)]
+            yield _batch([batch.column(0), pa.array(map(len, sets_here), pa.int64()), pa.array([parity(g).tobytes() for g in sets_here], pa.binary())], "key long, n long, bits binary")
+
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    bits = _listed(sets).join(broadcast_checked(keys), "key", "left_semi").mapInArrow(sketch, "key long, n long, bits binary").dropDuplicates(["key"])
+    side = lambda k, n, v: bits.select(F.col("key").alias(k), F.col("n").alias(n), F.col("bits").alias(v))
+    joined = pairs.join(side("a", "n1", "x"), "a").join(side("b", "n2", "y"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARITY_BITS // 8) for c in (3, 5))
+            both = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            common = (both - np.unpackbits(x ^ y, axis=1).sum(axis=1, dtype=np.int64)) // 2
+            mask = pa.array(100 * common >= percent * (both - common))
+            yield _batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], "a long, b long")
+
+    return joined.select("a", "b", "n1", "x", "n2", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar enough, counted exactly."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    needed = (
-        sets.where("grams is not null and kind = 0").select("key", "grams").join(broadcast_checked(keys), "key", "left_semi").groupBy("key").agg(F.any_value("grams").alias("grams"))
-    )
-    joined = pairs.join(needed.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(needed.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
+    left = stage(not_excluded(stage(pairs, "pairs"), sets, percent), "leftpairs")
+    needed = _needed(left, sets)
+    joined = left.join(needed.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(needed.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -426,9 +450,8 @@ def similar_sets(sets: DataFrame, percent: int = PERCENT, frequent: int = FREQUE
 
 def near_copy_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id`` (smallest doc_id linked, directly or not)."""
-    with _small_batches(docs.sparkSession):
-        sets = stage(shingle_sets(docs, width), "sets")
-        groups = components(similar_sets(sets, percent, frequent)).withColumnRenamed("node", "key")
+    sets = stage(shingle_sets(docs, width), "sets")
+    groups = components(similar_sets(sets, percent, frequent)).withColumnRenamed("node", "key")
     rows = sets.where("kind = 0").select("doc_id", "n", "key")
     keys = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = keys.join(groups, "key", "left").withColumn("comp", F.coalesce("comp", "key"))

@@ -104,6 +104,15 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark):
     assert {r["component_id"] for r in J.near_copy_components(frame(spark, rows)).collect()} == {0}
 
 
+def test_parity_bits_bound_the_common_part():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 3000))).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.random()], rng.integers(0, 1 << 62, int(rng.integers(0, 900))).astype(np.uint64)]))
+        differ = int(np.unpackbits(J.parity(x) ^ J.parity(y)).sum())
+        assert len(np.intersect1d(x, y)) <= (len(x) + len(y) - differ) // 2
+
+
 def test_empty_tables_and_null_ids(spark):
     assert J.near_copy_components(frame(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, None)]
