@@ -3,6 +3,8 @@
 A page becomes the sequence of its leaf blocks, each with the path of tags (and
 class and id names) above it and its words. A bidirectional LSTM in numpy reads
 hashed vectors of both and labels every block in the context of the whole page.
+Names and words are hashed with signs into thousands of slots; a block is the
+sum of the embeddings of its slots, so cost follows the names and words present.
 
 The network is trained here, on a bounded sample of pages (``sample_pages``, by
 hash) and variants of them in other layouts: their article blocks put under
@@ -32,8 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 240
-PATH_SIZE, WORD_SIZE, HIDDEN = 96, 32, 24
+PATH_SIZE, WORD_SIZE, EMBED, HIDDEN = 8191, 8192, 32, 24
 EPOCHS, RATE, BATCH = 14, 0.01, 32
+KEEP_WORDS = 0.5
 LABEL_BATCH = 256
 PATH_DEPTH = 12
 VECTOR_WORDS = 8
@@ -156,36 +159,80 @@ def leaf_blocks(page: str | None) -> list[Block]:
 # ---- vectors --------------------------------------------------------------------------
 
 _SLOTS: dict[tuple[str, int], int] = {}
+PIECE = 65536
 
 
 def _slot(word: str, size: int) -> int:
+    """Signed slot: twice the slot, and one more for the negative sign."""
     if len(_SLOTS) > 200_000:
         _SLOTS.clear()
-    found = _SLOTS[word, size] = zlib.crc32(word.encode("utf-8", "replace")) % size
+    hashed = zlib.crc32(word.encode("utf-8", "replace"))
+    found = _SLOTS[word, size] = hashed % size * 2 + (hashed >> 31)
     return found
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
+class Rows:
+    """Sparse rows, one per block: entries ``at`` (ascending), ``slot``, ``value``, and the dense ``rest``."""
+
+    __slots__ = ("at", "slot", "value", "rest", "_order")
+
+    def __init__(self, at: np.ndarray, slot: np.ndarray, value: np.ndarray, rest: np.ndarray):
+        self.at, self.slot, self.value, self.rest, self._order = at, slot, value, rest, None
+
+    def __len__(self) -> int:
+        return len(self.rest)
+
+    def summed(self, table: np.ndarray) -> np.ndarray:
+        """Sum of the rows of ``table`` under the entries of each block."""
+        out = np.zeros((len(self), table.shape[1]), table.dtype)
+        for a in range(0, len(self.at), PIECE):
+            at = self.at[a : a + PIECE]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            out[at[first]] += np.add.reduceat(table[self.slot[a : a + PIECE]] * self.value[a : a + PIECE, None], first, axis=0)
+        return out
+
+    def by_slot(self) -> tuple[np.ndarray, np.ndarray]:
+        """Entries ordered by slot, and where each slot begins."""
+        if self._order is None:
+            order = np.argsort(self.slot, kind="stable")
+            slots = self.slot[order]
+            self._order = order, np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+        return self._order
+
+    def spread(self, d: np.ndarray, grad: np.ndarray) -> None:
+        """Adds the gradient of ``summed`` to ``grad``, given that of its result."""
+        if not len(self.at):
+            return
+        order, first = self.by_slot()
+        grad[self.slot[order[first]]] += np.add.reduceat(d[self.at[order]] * self.value[order, None], first, axis=0)
+
+    def thinned(self, rng: np.random.Generator) -> Rows:
+        """The same rows without some of their words, for training: no page may be told by its rare words alone."""
+        keep = np.where(self.slot < PATH_SIZE, 1.0, (rng.random(len(self.slot)) < KEEP_WORDS) / KEEP_WORDS).astype(np.float32)
+        rows = Rows(self.at, self.slot, self.value * keep, self.rest)
+        rows._order = self.by_slot() if len(self.at) else None
+        return rows
+
+
+def vectors(blocks: list[Block]) -> Rows:
     """One row per block: hashed path, hashed first words, length, link share, place."""
-    out = np.zeros((len(blocks), PATH_SIZE + WORD_SIZE + 4), np.float32)
-    paths: dict[tuple, np.ndarray] = {}
+    paths: dict[tuple, list] = {}
     known = _SLOTS.get
+    codes: list[int] = []
+    sizes, values = np.zeros((len(blocks), 2), np.int64), np.ones((len(blocks), 2), np.float32)
+    rest = np.zeros((len(blocks), 4), np.float32)
     for n, block in enumerate(blocks):
         path = paths.get(block.path)
         if path is None:
-            path = paths[block.path] = np.zeros(PATH_SIZE, np.float32)
-            for names in block.path[-PATH_DEPTH:]:
-                for name in names:
-                    path[known((name, PATH_SIZE)) or _slot(name, PATH_SIZE)] = 1.0
-        row = out[n]
-        row[:PATH_SIZE] = path
-        for w in block.text[:160].lower().split()[:VECTOR_WORDS]:  # of the vector; the text itself stays whole
-            row[PATH_SIZE + (known((w, WORD_SIZE)) or _slot(w, WORD_SIZE))] = 1.0
-        row[-4] = min(1.0, math.log1p(len(block.text)) / 8)
-        row[-3] = block.link
-        row[-2] = n / len(blocks)
-        row[-1] = 1.0
-    return out
+            path = paths[block.path] = [known((name, PATH_SIZE)) or _slot(name, PATH_SIZE) for name in {name for names in block.path[-PATH_DEPTH:] for name in names}]
+        words = set(block.text[:160].lower().split()[:VECTOR_WORDS])  # of the vector; the text itself stays whole
+        codes += path
+        codes += [2 * PATH_SIZE + (known((w, WORD_SIZE)) or _slot(w, WORD_SIZE)) for w in words]
+        sizes[n] = len(path), len(words)
+        rest[n] = min(1.0, math.log1p(len(block.text)) / 8), block.link, n / len(blocks), 1.0
+    sizes = sizes.ravel()
+    coded = np.array(codes, np.int64)
+    return Rows(np.repeat(np.arange(len(sizes)) // 2, sizes), coded >> 1, np.repeat(values.ravel(), sizes) * (1 - 2 * (coded & 1)).astype(np.float32), rest)
 
 
 # ---- the network ------------------------------------------------------------------------
@@ -197,8 +244,9 @@ def _sigmoid(x):
 
 def fresh_weights(seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    size, h = PATH_SIZE + WORD_SIZE + 4, HIDDEN
+    size, h = EMBED + 4, HIDDEN
     weights = {"out": rng.normal(0, 0.1, (2 * h, 1)), "skip": rng.normal(0, 0.05, (size, 1)), "bias": np.zeros(1)}
+    weights["emb"] = np.zeros((PATH_SIZE + WORD_SIZE, EMBED))  # a name that training never met says nothing
     for side in "fb":
         weights[f"x{side}"] = rng.normal(0, 0.15, (size, 4 * h))
         weights[f"h{side}"] = rng.normal(0, 0.15, (h, 4 * h))
@@ -206,6 +254,16 @@ def fresh_weights(seed: int = 7) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in weights.items()}
 
 
+def embedded(x: np.ndarray | list[Rows], mask: np.ndarray, w: dict) -> np.ndarray:
+    """Inputs of the LSTM: embedding sums and the dense rest, for sparse pages or full rows."""
+    if isinstance(x, np.ndarray):
+        return np.concatenate([x[..., :-4] @ w["emb"], x[..., -4:]], axis=2)
+    out = np.zeros((*mask.shape, EMBED + 4), np.float32)
+    for k, rows in enumerate(x):
+        out[: len(rows), k, :EMBED], out[: len(rows), k, EMBED:] = rows.summed(w["emb"]), rows.rest
+    return out
+
+
 def _run(x: np.ndarray, mask: np.ndarray, w: dict, side: str, keep: bool):
     """States of one direction; ``x`` is time by page by size. Padding leaves the state as it is."""
     steps, pages, _ = x.shape
@@ -227,18 +285,21 @@ def _run(x: np.ndarray, mask: np.ndarray, w: dict, side: str, keep: bool):
     return states, memo
 
 
-def label_scores(x: np.ndarray, mask: np.ndarray, w: dict, keep: bool = False):
+def label_scores(x: np.ndarray | list[Rows], mask: np.ndarray, w: dict, keep: bool = False):
+    x = embedded(x, mask, w)
     forward, memo_f = _run(x, mask, w, "f", keep)
     backward, memo_b = _run(x, mask, w, "b", keep)
     both = np.concatenate([forward, backward], axis=2)
-    return (both @ w["out"] + x @ w["skip"] + w["bias"])[:, :, 0], (both, memo_f, memo_b)
+    return (both @ w["out"] + x @ w["skip"] + w["bias"])[:, :, 0], (x, both, memo_f, memo_b)
 
 
 def _gradients(x, mask, y, w):
-    scores, (both, memo_f, memo_b) = label_scores(x, mask, w, True)
+    rows = x
+    scores, (x, both, memo_f, memo_b) = label_scores(rows, mask, w, True)
     d = ((_sigmoid(scores) - y) * mask / max(1, mask.sum()))[:, :, None].astype(np.float32)
     grads = {"out": np.einsum("tpk,tpo->ko", both, d), "skip": np.einsum("tpk,tpo->ko", x, d), "bias": d.sum((0, 1))}
     d_both = d @ w["out"].T
+    d_x = d @ w["skip"].T
     for side, memo, part in (("f", memo_f, d_both[:, :, :HIDDEN]), ("b", memo_b, d_both[:, :, HIDDEN:])):
         d_z = np.zeros((*x.shape[:2], 4 * HIDDEN), np.float32)
         d_h = np.zeros((x.shape[1], HIDDEN), np.float32)
@@ -257,11 +318,22 @@ def _gradients(x, mask, y, w):
         grads[f"x{side}"] = np.einsum("tpk,tpz->kz", x, d_z)
         grads[f"h{side}"] = d_wh
         grads[f"c{side}"] = d_z.sum((0, 1))
+        d_x = d_x + d_z @ w[f"x{side}"].T
+    d_x = d_x[:, :, :EMBED]
+    if isinstance(rows, np.ndarray):
+        grads["emb"] = np.einsum("tps,tpe->se", rows[..., :-4], d_x)
+    else:
+        grads["emb"] = np.zeros_like(w["emb"])
+        for k, page in enumerate(rows):
+            page.spread(d_x[: len(page), k], grads["emb"])
     return grads
 
 
-def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def padded(rows: list) -> tuple:
+    """Pages of one batch and the mask of their blocks; sparse pages stay as they are."""
     longest = max(len(r) for r in rows)
+    if isinstance(rows[0], Rows):
+        return rows, np.arange(longest)[:, None] < np.array([len(r) for r in rows])
     x = np.zeros((longest, len(rows), rows[0].shape[1]), np.float32)
     mask = np.zeros((longest, len(rows)), bool)
     for n, r in enumerate(rows):
@@ -279,7 +351,7 @@ def train(examples: list[tuple[list[Block], list[int]]], epochs: int = EPOCHS) -
     rng, step = np.random.default_rng(11), 0
     for _ in range(epochs):
         for n in rng.permutation(len(batches)):
-            x, mask = padded([v for v, _ in batches[n]])
+            x, mask = padded([v.thinned(rng) for v, _ in batches[n]])
             y = np.zeros(mask.shape, np.float32)
             for k, (_, labels) in enumerate(batches[n]):
                 y[: len(labels), k] = labels

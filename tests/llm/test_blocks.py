@@ -88,6 +88,24 @@ def test_pages_not_seen_in_training(weights, layout, least):
     assert sum(t == want for t, (_, want) in zip(got, pages)) >= least * 60
 
 
+def test_names_keep_slots_of_their_own():
+    names = {*B.SIDE_NAMES, *(n for m in B.MAIN_NAMES for n in B.NAME.findall(m)), *B.MAIN_TAGS, *B.SIDE_TAGS, *B.ENDS_P, "li", "row", "container", "column", "card"}
+    assert len({B._slot(n, B.PATH_SIZE) // 2 for n in names}) == len(names)
+
+
+@pytest.mark.parametrize("main,side", [("article", "cookie"), ("entry", "consent"), ("story", "popup"), ("text", "social"), ("post", "breadcrumbs"), ("article", "tags")])
+def test_containers_whose_names_once_met(weights, main, side):
+    rng = random.Random(3)
+    words = lambda k: " ".join("".join(rng.choice(["ti", "on", "er", "st", "ing"]) for _ in range(3)) for _ in range(k))
+    good = 0
+    for _ in range(20):
+        paras, extra = [words(rng.randint(5, 30)) for _ in range(4)], [words(8) for _ in range(2)]
+        open_, close = (f"<{main}>", f"</{main}>") if main == "article" else (f"<div class='{main}'>", "</div>")
+        markup = f"<body><div class='{side}'><p>{extra[0]}</p></div>{open_}{''.join(f'<p>{p}</p>' for p in paras)}{close}<div class='{side}'><p>{extra[1]}</p></div></body>"
+        good += B.main_texts([markup], weights) == [" ".join(paras)]
+    assert good >= 18
+
+
 def test_documents(spark):
     rng = random.Random(9)
     pages = [page(rng, n) for n in range(80)]
