@@ -11,7 +11,9 @@ hash) and variants of them in other layouts: their article blocks put under
 other containers, boilerplate of other kinds around and inside them. Labels come
 from the markup of the sample (inside ``article`` or ``main``, outside of menus
 and the like); the network sees names and words, and generalises to pages where
-the container has other names.
+the container has other names. All names above a block and all its words are
+hashed. Sample pages are learnt whole, in windows of ``WINDOW`` blocks, which bound
+the memory of a training step; pages to be labelled are read in one go.
 
 Scripts, styles, templates, forms' controls, comments and the head hold no
 blocks. Null and empty html gives an empty text. Pages of any length are read
@@ -38,8 +40,8 @@ PATH_SIZE, WORD_SIZE, EMBED, HIDDEN = 8191, 8192, 32, 24
 EPOCHS, RATE, BATCH = 14, 0.01, 32
 KEEP_WORDS = 0.5
 LABEL_BATCH = 256
-PATH_DEPTH = 12
-VECTOR_WORDS = 8
+WINDOW = 512
+WORD_SCALE = 2.0
 OUT = "page_id long, url string, text string, n_chars long"
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
@@ -206,6 +208,14 @@ class Rows:
         order, first = self.by_slot()
         grad[self.slot[order[first]]] += np.add.reduceat(d[self.at[order]] * self.value[order, None], first, axis=0)
 
+    def windows(self, size: int) -> list[tuple[int, Rows]]:
+        """Consecutive pieces of at most ``size`` rows, with the row each begins at; together they are the page."""
+        out = []
+        for a in range(0, len(self), size):
+            first, last = np.searchsorted(self.at, [a, a + size])
+            out.append((a, Rows(self.at[first:last] - a, self.slot[first:last], self.value[first:last], self.rest[a : a + size])))
+        return out
+
     def thinned(self, rng: np.random.Generator) -> Rows:
         """The same rows without some of their words, for training: no page may be told by its rare words alone."""
         keep = np.where(self.slot < PATH_SIZE, 1.0, (rng.random(len(self.slot)) < KEEP_WORDS) / KEEP_WORDS).astype(np.float32)
@@ -215,7 +225,7 @@ class Rows:
 
 
 def vectors(blocks: list[Block]) -> Rows:
-    """One row per block: hashed path, hashed first words, length, link share, place."""
+    """One row per block: hashed path, hashed words, length, link share, place."""
     paths: dict[tuple, list] = {}
     known = _SLOTS.get
     codes: list[int] = []
@@ -224,11 +234,12 @@ def vectors(blocks: list[Block]) -> Rows:
     for n, block in enumerate(blocks):
         path = paths.get(block.path)
         if path is None:
-            path = paths[block.path] = [known((name, PATH_SIZE)) or _slot(name, PATH_SIZE) for name in {name for names in block.path[-PATH_DEPTH:] for name in names}]
-        words = set(block.text[:160].lower().split()[:VECTOR_WORDS])  # of the vector; the text itself stays whole
+            path = paths[block.path] = [known((name, PATH_SIZE)) or _slot(name, PATH_SIZE) for name in {name for names in block.path for name in names}]
+        words = set(block.text.lower().split())
         codes += path
         codes += [2 * PATH_SIZE + (known((w, WORD_SIZE)) or _slot(w, WORD_SIZE)) for w in words]
         sizes[n] = len(path), len(words)
+        values[n, 1] = WORD_SCALE / math.sqrt(len(words) or 1)  # long blocks weigh as much as short ones
         rest[n] = min(1.0, math.log1p(len(block.text)) / 8), block.link, n / len(blocks), 1.0
     sizes = sizes.ravel()
     coded = np.array(codes, np.int64)
@@ -342,9 +353,10 @@ def padded(rows: list) -> tuple:
 
 
 def train(examples: list[tuple[list[Block], list[int]]], epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """Adam over pages of similar length."""
+    """Adam over windows of similar length; every block of every page is in one of them."""
     w = fresh_weights()
-    data = sorted(((vectors(b), np.array(y, np.float32)) for b, y in examples if b), key=lambda e: len(e[0]))
+    data = [(rows, np.array(y[a : a + len(rows)], np.float32)) for b, y in examples if b for a, rows in vectors(b).windows(WINDOW)]
+    data.sort(key=lambda e: len(e[0]))
     batches = [data[i : i + BATCH] for i in range(0, len(data), BATCH)]
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
@@ -436,7 +448,6 @@ def fitted(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, np.n
     for blocks in read:
         phrases += [w for b in blocks[:40] for w in b.text.split()[:4]]
     for blocks in read:
-        blocks = blocks[:200]  # of a training page; pages to be labelled are read whole
         labels = [taught(b) for b in blocks]
         examples.append((blocks, labels))
         examples += variants(blocks, labels, rng, phrases)

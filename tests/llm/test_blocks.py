@@ -106,6 +106,51 @@ def test_containers_whose_names_once_met(weights, main, side):
     assert good >= 18
 
 
+def test_late_words_and_far_ancestors_reach_the_vectors():
+    early, url = " ".join(f"w{n}" for n in range(40)), "https://host.example/" + "x" * 200
+    as_set = lambda block: set(B.vectors([block]).slot.tolist())
+    for start in (early, url):
+        assert as_set(B.Block((("p",),), f"{start} advert", False)) - as_set(B.Block((("p",),), start, False)) == {B.PATH_SIZE + B._slot("advert", B.WORD_SIZE) // 2}
+    deep = lambda tag: B.leaf_blocks(f"<{tag}>{'<div>' * 40}text")
+    assert set(B.vectors(deep("aside")).slot.tolist()) != set(B.vectors(deep("article")).slot.tolist())
+
+
+def test_deeply_nested_pages(weights):
+    rng = random.Random(4)
+    words = lambda k: " ".join("".join(rng.choice(["ti", "on", "er", "st", "ing"]) for _ in range(3)) for _ in range(k))
+    good = 0
+    for _ in range(20):
+        paras = [words(rng.randint(5, 30)) for _ in range(4)]
+        deep = lambda inner: "<div>" * 20 + inner + "</div>" * 20
+        markup = f"<body><article>{deep(''.join(f'<p>{p}</p>' for p in paras))}</article><section class=comments>{deep(f'<p>{words(9)}</p><p>{words(20)}</p>')}</section></body>"
+        good += B.main_texts([markup], weights) == [" ".join(paras)]
+    assert good >= 18
+
+
+def test_words_at_the_end_of_a_block_decide():
+    """Pages told only by a word behind the first eight, and only in blocks behind the first 200."""
+    rng = random.Random(6)
+    filler = lambda: " ".join(rng.choice(["ti", "on", "er", "st"]) for _ in range(30))
+
+    def made():
+        marks = [int(rng.random() < 0.5) for _ in range(12)]
+        return [B.Block((("div",),), filler() + (" tale" if m else " advert"), False) for m in marks], marks
+
+    w = B.train([made() for _ in range(120)])
+    for blocks, marks in (made() for _ in range(10)):
+        x, mask = B.padded([B.vectors(blocks)])
+        assert ((B.label_scores(x, mask, w)[0][:, 0] > 0).astype(int) == marks).all()
+
+
+def test_training_reads_whole_pages(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(B, "train", lambda examples: seen.extend(examples) or B.fresh_weights())
+    B.fitted(spark.createDataFrame([(1, "u", "<article>" + "".join(f"<p>p{n}</p>" for n in range(1500)) + "</article>", "c")], SCHEMA))
+    assert len(seen[0][0]) == len(seen[0][1]) == 1500
+    pieces = B.vectors(seen[0][0]).windows(B.WINDOW)
+    assert sum(len(rows) for _, rows in pieces) == 1500 and sum(len(rows.at) for _, rows in pieces) == len(B.vectors(seen[0][0]).at)
+
+
 def test_documents(spark):
     rng = random.Random(9)
     pages = [page(rng, n) for n in range(80)]
