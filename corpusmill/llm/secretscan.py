@@ -3,8 +3,10 @@
 Base findings need no context: assignments of long values, access identifiers,
 long hexadecimal runs. Weak candidates (short assigned values, bare 40-character
 keys) are reported only when an access identifier or an endpoint lies in the same
-scope (paragraph) within ``reach`` characters: the parts of a credential are
-linked by an interval join over their spans, swept once in order of position.
+scope (paragraph) within ``reach`` characters. The parts of a credential are
+linked by an interval join over their spans: each scope has one link
+``secret+secret-counterpart+counterpart`` (each ``kind:start:end``) of all its weak
+and strong secrets and all their counterparts. ``n_linked`` counts linked secrets.
 
 Null and empty texts have no spans. A text of any length is scanned whole.
 Repeated rows are scanned alike and all returned. Empty tables give no rows.
@@ -62,15 +64,29 @@ def _clear_of(spans: list[Span], taken: list[Span]) -> list[Span]:
     return [s for s in spans if not (i := bisect_left(starts, s[1])) or ends[i - 1] <= s[0]]
 
 
-def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[tuple[Span, Span]]:
-    """Pairs (weak candidate, nearest counterpart) within a scope and ``reach``."""
+def _near(spans: list[Span], others: list[Span], reach: int) -> list[Span]:
+    """Those of ``spans`` with one of ``others`` (sorted) within ``reach``."""
+    starts, ends, best = [s[0] for s in others], [], 0
+    for _, end, _ in others:
+        best = max(best, end)
+        ends.append(best)
+    return [s for s in spans if (i := bisect_right(starts, s[1] + reach)) and ends[i - 1] >= s[0] - reach]
+
+
+def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[tuple[list[Span], list[Span]]]:
+    """Per scope its secrets and all their counterparts, in order of position and within ``reach``.
+
+    Secrets are weak candidates and the base findings but access identifiers:
+    a strong secret needs no counterpart, but its counterparts are found by it.
+    """
     low = text.lower()
     weak: list[Span] = []
     if any(word in low for word in ("pass", "pwd", "secret", "token", "apikey", "api_key")):
         weak += [(m.start(), m.end(), "weak") for m in SHORT.finditer(text)]
     weak += [(m.start(), m.end(), "weak") for m in BARE.finditer(text)]
     weak = _clear_of(weak, base)
-    if not weak:
+    secrets = weak + [s for s in base if s[2] != "access"]
+    if not secrets:
         return []
     partners = [s for s in base if s[2] == "access"]
     partners += _clear_of([(m.start(), m.end(), "identifier") for m in IDENTIFIER.finditer(text)], base + weak)
@@ -78,21 +94,17 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[tuple[
         partners += _clear_of([(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)], base + weak)
     if not partners:
         return []
-    partners.sort()
-    starts, longest = [s[0] for s in partners], max(s[1] - s[0] for s in partners)
     breaks = [m.start() for m in SCOPE_END.finditer(text)]
-    scope = lambda at: bisect_right(breaks, at)
-    pairs = []
-    for span in sorted(weak):
-        first, last = bisect_left(starts, span[0] - reach - longest), bisect_right(starts, span[1] + reach)
-        near = [
-            (max(p[0] - span[1], span[0] - p[1], 0), p)
-            for p in partners[first:last]
-            if scope(p[0]) == scope(span[0]) and max(p[0] - span[1], span[0] - p[1]) <= reach
-        ]
-        if near:
-            pairs.append((span, min(near)[1]))
-    return pairs
+    scopes: dict[int, tuple[list[Span], list[Span]]] = {}
+    for side, spans in enumerate((secrets, partners)):
+        for span in sorted(set(spans)):
+            scopes.setdefault(bisect_right(breaks, span[0]), ([], []))[side].append(span)
+    links = []
+    for _, (own, others) in sorted(scopes.items()):
+        link = _near(own, others, reach), _near(others, own, reach)
+        if link[0]:
+            links.append(link)
+    return links
 
 
 def joined(spans: list[Span]) -> str:
@@ -102,12 +114,12 @@ def joined(spans: list[Span]) -> str:
 def scan_text(text: str | None, reach: int = REACH) -> tuple:
     text = text or ""
     base = base_spans(text)
-    pairs = linked_spans(text, base, reach)
-    every = set(base) | {s for pair in pairs for s in pair}
+    links = linked_spans(text, base, reach)
+    every = set(base) | {s for link in links for side in link for s in side}
     count = lambda kind: sum(1 for s in base if s[2] == kind)
     return (
         count("assign"), count("access"), count("hex"), hashlib.sha256(joined(base).encode()).hexdigest(), joined(list(every)),
-        len(pairs), ",".join(f"{w[0]}:{w[1]}-{p[2]}:{p[0]}:{p[1]}" for w, p in pairs),
+        sum(len(own) for own, _ in links), ",".join("-".join("+".join(f"{k}:{s}:{e}" for s, e, k in side) for side in link) for link in links),
     )
 
 
