@@ -3,7 +3,8 @@
 Base findings need no context: assignments of long values, access identifiers,
 long hexadecimal runs. Weak candidates (short assigned values, bare 40-character
 keys) are reported only when an access identifier or an endpoint lies in the same
-scope (paragraph) within ``reach`` characters. The parts of a credential are
+scope (paragraph). Tables are scanned and masked over whole scopes; a ``reach``
+in characters narrows the join, as it does by default for a single text. The parts of a credential are
 linked by an interval join over their spans: each scope has one link
 ``secret+secret-counterpart+counterpart`` (each ``kind:start:end``) of all its weak
 and strong secrets and all their counterparts. ``n_linked`` counts linked secrets.
@@ -64,8 +65,10 @@ def _clear_of(spans: list[Span], taken: list[Span]) -> list[Span]:
     return [s for s in spans if not (i := bisect_left(starts, s[1])) or ends[i - 1] <= s[0]]
 
 
-def _near(spans: list[Span], others: list[Span], reach: int) -> list[Span]:
-    """Those of ``spans`` with one of ``others`` (sorted) within ``reach``."""
+def _near(spans: list[Span], others: list[Span], reach: int | None) -> list[Span]:
+    """Those of ``spans`` with one of ``others`` (sorted) within ``reach``, at any distance if it is None."""
+    if reach is None:
+        return spans if others else []
     starts, ends, best = [s[0] for s in others], [], 0
     for _, end, _ in others:
         best = max(best, end)
@@ -73,7 +76,7 @@ def _near(spans: list[Span], others: list[Span], reach: int) -> list[Span]:
     return [s for s in spans if (i := bisect_right(starts, s[1] + reach)) and ends[i - 1] >= s[0] - reach]
 
 
-def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[tuple[list[Span], list[Span]]]:
+def linked_spans(text: str, base: list[Span], reach: int | None = REACH) -> list[tuple[list[Span], list[Span]]]:
     """Per scope its secrets and all their counterparts, in order of position and within ``reach``.
 
     Secrets are weak candidates and the base findings but access identifiers:
@@ -111,7 +114,7 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
 
 
-def scan_text(text: str | None, reach: int = REACH) -> tuple:
+def scan_text(text: str | None, reach: int | None = REACH) -> tuple:
     text = text or ""
     base = base_spans(text)
     links = linked_spans(text, base, reach)
@@ -123,7 +126,7 @@ def scan_text(text: str | None, reach: int = REACH) -> tuple:
     )
 
 
-def scan_documents(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def scan_documents(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """Counts, digest and spans per document; the work is one map over the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +151,7 @@ def redact(text: str | None, spans: str | None, mark: str = "[SECRET]") -> str |
     return "".join(parts) + text[at:]
 
 
-def mask_documents(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def mask_documents(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """All documents with the secrets of their texts masked; other columns kept, ``n_chars`` counted anew."""
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

@@ -72,6 +72,16 @@ def test_links_against_all_pairs():
             assert S.linked_spans(text, base, reach) == [w for w in want if w[0]], text
 
 
+def test_tables_join_over_whole_paragraphs(spark):
+    far = "user=admin " + "x " * 400 + "pwd=hunter2"
+    apart = "user=admin " + "x " * 400 + "\n\npwd=hunter2"
+    docs = spark.createDataFrame([(1, far, len(far)), (2, apart, len(apart))], "doc_id long, text string, n_chars long")
+    rows = {r["doc_id"]: r for r in S.scan_documents(docs).collect()}
+    assert rows[1]["spans"] == "identifier:0:10,weak:811:822" and rows[1]["n_linked"] == 1 and rows[2]["spans"] == ""
+    assert {r["doc_id"]: r["text"] for r in S.mask_documents(docs).collect()} == {1: far.replace("pwd=hunter2", "[SECRET]"), 2: apart}
+    assert {r["n_linked"] for r in S.scan_documents(docs, S.REACH).collect()} == {0}
+
+
 def test_masking():
     text = "a password=abcdefghijkl b user=admin pwd=hunter2 é"
     assert S.redact(text, S.scan_text(text)[4]) == "a [SECRET] b user=admin [SECRET] é"
