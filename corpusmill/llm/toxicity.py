@@ -1,7 +1,7 @@
 """Toxicity scores that see through leetspeak, spacing and repetition.
 
 Suspicious tokens (letters mixed with look-alike signs, single letters set
-apart, letters repeated) become lattices: every sign may stand for itself, for
+apart by gaps of any length, letters repeated) become lattices: every sign may stand for itself, for
 a look-alike letter or for nothing. A Viterbi search finds the likeliest
 readings under a character trigram model counted over all texts. Words of the
 plain and of the restored text are scored by markers.
@@ -45,14 +45,22 @@ ENDS = (4, 5)
 CACHE = 400_000
 
 WORDS = re.compile(r"[^\W\d_]+")
-SPACED = re.compile(r"(?<![\w@$])(?:[\w@$!][ .\-_*]{1,2}){3,}[\w@$!](?![\w@$])")
 TRAIL = ".,;:!?\"')]}»“”…"
+EDGE = TRAIL.replace("!", "")  # signs around a token that stand for no letter
+SPACES = re.compile(r"\s")
 # Signs that may stand for letters.
 LOOKALIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¡": "i", "§": "s",
 }
 GAPS = " .-_*~^`·'"
+# Single signs set apart by runs of gap characters of any length; signs and gaps are disjoint.
+SIGN = f"(?:[^\\W_]|[{re.escape(''.join(c for c in LOOKALIKE if not c.isalnum()))}])"
+APART = rf"[\s{re.escape(GAPS)}]++"
+SPACED = re.compile(rf"(?<![^\W_])(?<![@$])(?:{SIGN}{APART}){{3,}}{SIGN}(?![^\W_])(?![@$])")
+WIDE = re.compile(rf"([\s{re.escape(GAPS)}]{{2}}){APART}")
+REPEATED = re.compile(r"(.)\1{3,}", re.S)
+GLUE = re.compile(r"[_/\\,;:=&?#~^`·'.*-]+")
 # Log costs of the channel.
 SWAP, KEEP, GAP, REPEAT, DOUBLE = -1.5, -4.0, -0.3, -0.5, -4.0
 BEAM, READINGS = 48, 3
@@ -146,12 +154,40 @@ def readings(token: str, model: list, keep: int = READINGS) -> list[str]:
 
 
 def suspicious(token: str) -> bool:
-    """Letters mixed with signs that stand for letters or part them, or a letter three times in a row."""
-    if len(token) > LONGEST_TOKEN or not (letters := sum(map(str.isalpha, token))):
-        return False
+    """Letters mixed with signs that stand for letters or part them, or a letter twice in a row.
+
+    Tokens of signs alone count if all of them stand for letters; digits alone are a number.
+    """
+    letters = sum(map(str.isalpha, token))
     if letters == len(token):
-        return any(token[i] == token[i + 1] == token[i + 2] for i in range(len(token) - 2))
-    return letters * 3 >= len(token) and not token.startswith(("http", "www."))
+        return any(a == b for a, b in zip(token, token[1:]))
+    if token.startswith(("http", "www.")):
+        return False
+    if letters and letters * 3 >= len(token):
+        return True
+    return all(c.isalpha() or c in LOOKALIKE or c in GAPS for c in token) and any(c.isalpha() or c in LOOKALIKE and not c.isdigit() for c in token)
+
+
+def pieces(token: str) -> Iterator[tuple[str, bool, bool]]:
+    """Overlapping pieces of a token of any length, and whether they are cut at the left and right.
+
+    Runs of a sign are first shortened to three: the channel reads longer ones alike.
+    """
+    token = REPEATED.sub(r"\1\1\1", token)
+    at = 0
+    while True:
+        end = at + 2 * LONGEST_TOKEN
+        yield token[at:end], at > 0, end < len(token)
+        if end >= len(token):
+            return
+        at += LONGEST_TOKEN
+
+
+def whole_words(text: str, left: bool, right: bool) -> str:
+    """``text`` without the word that a cut parts; it stands whole in the next piece."""
+    if left:
+        text = re.sub(r"^[^\W\d_]+", "", text)
+    return re.sub(r"[^\W\d_]+$", "", text) if right else text
 
 
 def core(token: str) -> str:
@@ -257,14 +293,18 @@ class TextScorer:
         get = self.found.get
         return max((get(f, 0.0) for w in WORDS.findall(text) for f in features(w)), default=0.0)
 
+    def decoded(self, token: str) -> float:
+        return max(self.words(whole_words(t, left, right)) for piece, left, right in set(pieces(token)) for t in readings(piece, self.model))
+
     def token(self, token: str) -> float:
         known = self.known.get(token)
         if known is None:
             known = self.words(token)
-            inner = core(token)
-            if not inner.isalpha() or len(inner) > 3:
-                if suspicious(inner):
-                    known = max([known, *(self.words(t) for t in readings(inner, self.model))])
+            for inner in {core(token), token.strip(EDGE)}:
+                if (not inner.isalpha() or len(inner) > 3) and suspicious(inner):
+                    known = max(known, self.decoded(inner))
+            if len(token) > LONGEST_TOKEN and not token.startswith(("http", "www.")):
+                known = max([known, *(self.token(t) for t in set(GLUE.split(token)) if 1 < len(t) < len(token))])
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[token] = known
@@ -276,9 +316,7 @@ class TextScorer:
         low = text.lower()
         best = max(map(self.token, set(low.split())), default=0.0)
         for m in SPACED.finditer(low):
-            span = m[0]
-            for at in range(0, len(span), LONGEST_TOKEN):  # overlapping pieces of a long run
-                best = max([best, *(self.words(t) for t in readings(span[at : at + 2 * LONGEST_TOKEN], self.model))])
+            best = max(best, self.decoded(SPACES.sub(" ", WIDE.sub(r"\1", m[0]))))
         return max(LOWEST, best)
 
 

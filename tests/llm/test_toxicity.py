@@ -56,6 +56,33 @@ def test_held_out_accuracy_and_disguises(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, s in score.items() if s < 0.7}
 
 
+def test_disguises_of_any_length(spark):
+    docs, labels = corpus()
+    hidden = {
+        9001: "the on gr" + "o" * 90 + "mblick er", 9002: "the_on_er_such_ting_on_gr0mbl1ck_the_an_tion_er_ly", 9003: "the/on/er/ting/ha/nd/on/ly/er/z4ntw0rt/the/an/tion/er/ly/ou", 9004: "9r0m8l1ck",
+        9005: "on zzanttwortt", 9006: "ppluummppffiigg on", 9007: "z - a - n - t - w - o - r - t on", 9008: "the s   n   e   v   e   r   l   y ting", 9009: "p\tl\tu\tm\tp\tf\ti\tg", 9010: "!d 9r0m8l1(k",
+    }
+    clean = {9101: "x" * 300_000, 9102: "a - b - c - d - e", 9103: "ab" * 60_000, 9104: "a" + " " * 200_000 + "b", 9105: "_" * 100_000, 9106: "3 . 4 . 5 . 6", 9107: "2024 1000 $450"}
+    extra = [(i, t, "en", "c") for i, t in {**hidden, **clean}.items()]
+    score = {r["doc_id"]: r["score"] for r in T.score_documents(*frames(spark, docs + extra, labels)).collect()}
+    assert [i for i in hidden if score[i] < 0.7] == [] and [i for i in clean if score[i] >= 0.7] == []
+
+
+def test_signs_at_the_edge_and_tokens_with_few_letters():
+    for token in ("1d107", "!d!07", "iddiot", "ssttuuppiidd", "@$$", "s" + "t" * 45 + "upid"):
+        assert T.suspicious(token), token
+    for token in ("2024", "idiot", "###", "http://a1b2"):
+        assert not T.suspicious(token), token
+    assert T.SPACED.search("m - o - r - o - n") and T.SPACED.search("m   o   r   o   n")
+
+
+def test_a_cut_makes_no_words():
+    flat = np.zeros((32, 32, 32)).tolist()
+    scorer = T.TextScorer({"gromb": 1.0}, np.array(flat))
+    token = "".join(chr(97 + n % 7) + "q" for n in range(37)) + "!gromb" + "elquist" * 20  # the first piece ends after gromb
+    assert token[:80].endswith("gromb") and scorer.decoded(token) == 0.0
+
+
 def test_labels_held_out_are_not_read(spark):
     docs, labels = corpus()
     turned = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in labels]
