@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.session import broadcast_checked, stage
 
@@ -460,6 +461,21 @@ def near_copy_components(docs: DataFrame, width: int = WIDTH, percent: int = PER
     return rows.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def with_clusters(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+    """``docs`` with ``cluster``, equal within a group of near copies, per row; null where a text has no words."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            keys = [xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None for found in shingles_of(batch.column(at).to_pylist(), hashes, width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "key"])
+
+    keyed = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("key", T.LongType())]))
+    groups = stage(components(similar_sets(stage(shingle_sets(docs, width), "sets"), percent, frequent)), "groups").withColumnRenamed("node", "key")
+    return keyed.join(broadcast_checked(groups), "key", "left").select(*docs.columns, F.coalesce("comp", "key").alias("cluster"))
+
+
 def drop_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One document of every component stays, that with the smallest id; all columns kept.
 

@@ -11,7 +11,8 @@ most a few unfilled bins per group. Sizes are counts of words separated by
 white space.
 
 Null and empty texts have no words: they are returned with null bin. A null
-source conflicts with nothing; equal texts form a cluster. Repeated rows are
+source conflicts with nothing. Without a ``cluster`` equal texts form one; op9
+passes groups of near copies (``jaccard.with_clusters``). Repeated rows are
 packed each. Empty tables give no rows. Extra columns are ignored.
 """
 
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import stage
+
 CAPACITY = 2048
 GROUP_ROWS = 4096
 TASK_ROWS = 32768
@@ -106,7 +109,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: Column |
         (F.xxhash64(text) if cluster is None else cluster.cast("long")).alias("cluster"),
         F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("size"),
     )
-    tasks = max(1, math.ceil(docs.count() / task_rows))
+    if cluster is not None:
+        sized = stage(sized, "sized")  # clusters are costly and read twice
+    tasks = max(1, math.ceil((docs if cluster is None else sized).count() / task_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusmill.llm import blocks, impact, jaccard, packing, secretscan, sharding, tiling, toxicity, urlrank, warc
 from corpusmill.session import read_table
@@ -134,7 +135,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_conflict_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return packing.pack_documents(jaccard.with_clusters(docs), cluster=F.col("cluster"))
 
 
 @query("op10_linked_secrets")

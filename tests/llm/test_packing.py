@@ -71,5 +71,23 @@ def test_documents(spark):
     assert {r["doc_id"] for r in got if r["bin"] is None} == {500, 501, 502}
 
 
+def test_near_copies_share_no_bin(spark, monkeypatch):
+    from corpusmill.llm import queries
+
+    rng = random.Random(8)
+    rows = []
+    for g in range(4):
+        words = [f"w{g}x{rng.randrange(500)}" for _ in range(100)]
+        rows += [(g * 10 + n, " ".join([*words[:-1], f"end{n}"]), None if n % 2 else f"s{n}") for n in range(6)]
+    rows += [(100, rows[0][1], None), (None, rows[0][1] + " more", None), (101, "", None), (102, None, "x")]
+    monkeypatch.setattr(queries, "read_table", lambda *_: frame(spark, rows))
+    got = queries.op9(spark, "").collect()
+    assert len(got) == len(rows)
+    group = lambda i: 0 if i is None or i == 100 else i // 10
+    held = [(r["part"], r["bin"], group(r["doc_id"])) for r in got if r["bin"] is not None]
+    assert len(held) == 26 and len(set(held)) == len(held)
+    assert len({b[:2] for b in held}) < len(held)
+
+
 def test_empty_table(spark):
     assert P.pack_documents(frame(spark, [])).count() == 0
