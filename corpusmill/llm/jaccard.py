@@ -406,7 +406,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
     """``node, comp``: the smallest node of every component, for nodes with links.
 
-    Alternates large-star and small-star steps until nothing changes. Every
+    Alternates large-star and small-star steps until nothing changes, and fails
+    if ``limit`` rounds do not get there. Every
     step is written to the shared folder.
     """
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
@@ -424,6 +425,8 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components are not stable after {limit} rounds")
     nodes = edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
     return nodes.unionByName(nodes.select(F.col("comp").alias("node"), "comp").distinct())
 

@@ -133,3 +133,14 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(n, n + 1) for n in range(60)] + [(100, 200)], "a long, b long")
     found = {r["node"]: r["comp"] for r in J.components(links).collect()}
     assert found == {**dict.fromkeys(range(61), 0), 100: 100, 200: 100}
+
+
+def test_components_cut_short_fail(spark):
+    import pytest
+
+    from corpusmill.llm import jaccard
+
+    chain = spark.createDataFrame([(n, n + 1) for n in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        jaccard.components(chain, limit=1)
+    assert {r["comp"] for r in jaccard.components(chain).collect()} == {0}
