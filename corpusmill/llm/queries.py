@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import blocks, impact, jaccard, packing, secretscan, sharding, tiling, toxicity, urlrank, warc
+from corpusmill.llm import blocks, impact, infill, jaccard, packing, prefixtrie, secretscan, sharding, tiling, toxicity, urlrank, warc
 from corpusmill.session import read_table
 
 QUERIES: dict = {}
@@ -142,3 +142,47 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_linked_secrets")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_skiplist_infill",
+    r"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    k AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+                 CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+    c AS (SELECT *, len(tokens) AS n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS x, greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS y,
+                 CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+    p AS (SELECT *, coalesce(array_to_string(tokens[1:x], ''), '') AS prefix, coalesce(array_to_string(tokens[x + 1:y], ''), '') AS middle, coalesce(array_to_string(tokens[y + 1:], ''), '') AS suffix FROM c)
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM p
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digest(read_table(spark, sf_dir, "documents"))
+
+
+# CRC-32 of a decimal, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(0 AS BIGINT) for z in range(8)]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+
+@query(
+    "op13_lcp_trie",
+    f"""
+    WITH t AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, CAST(length(coalesce(text, '')) AS BIGINT) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, list({{'digest': digest, 'chars': chars}} ORDER BY turn NULLS FIRST, digest) AS turns FROM t GROUP BY 1),
+    h AS (SELECT *, {_CRC32} % 6 AS h FROM own),
+    r AS (SELECT h.conv_id, coalesce(b.turns[1:h.h], []) || h.turns[h.h + 1:] AS turns FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+    e AS (SELECT conv_id, len(turns) AS size, d, array_to_string(list_transform(turns[1:d], lambda x: x.digest), '') AS key, coalesce(turns[d].chars, 0) AS chars FROM r, unnest(range(len(turns) + 1)) u(d)),
+    g AS (SELECT d AS depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256 FROM e GROUP BY 1, 2),
+    k AS (SELECT depth - 1 AS depth, key[1:32 * (depth - 1)] AS key, count(*) AS n FROM g WHERE depth > 0 GROUP BY 1, 2),
+    s AS (SELECT g.*, coalesce(k.n, 0) AS n_children FROM g LEFT JOIN k USING (depth, key)),
+    a AS (SELECT u.k AS depth, key[1:32 * u.k] AS key, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM s, unnest(range(depth + 1)) u(k) GROUP BY 1, 2)
+    SELECT s.conv_id, s.depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens, s.ends_sha256
+    FROM s JOIN a USING (depth, key) LEFT JOIN g p ON p.depth = s.depth - 1 AND p.key = s.key[1:32 * (s.depth - 1)]
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.build_trie(read_table(spark, sf_dir, "conversations"))

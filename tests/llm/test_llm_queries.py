@@ -16,11 +16,11 @@ def test_one_query_of_each_number():
     import __spark_entry__ as entry
 
     names = list(entry.queries())
-    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
-@pytest.mark.parametrize("number", [2, 3, 4, 7])
+@pytest.mark.parametrize("number", [2, 3, 4, 7, 11, 13])
 def test_query_equals_sql(spark, number):
     import __spark_entry__ as entry
     import oracle
