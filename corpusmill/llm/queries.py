@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import blocks, impact, infill, jaccard, packing, prefixtrie, secretscan, sharding, tiling, toxicity, urlrank, warc
+from corpusmill.llm import blocks, impact, infill, jaccard, outliers, packing, prefixtrie, secretscan, sharding, tiling, toxicity, urlrank, warc
 from corpusmill.session import read_table
 
 QUERIES: dict = {}
@@ -163,6 +163,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.infill_digest(read_table(spark, sf_dir, "documents"))
 
 
+@query("op12_determinant_outliers")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge_documents(read_table(spark, sf_dir, "documents"))
+
+
 # CRC-32 of a decimal, bit by bit.
 _CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
   lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(0 AS BIGINT) for z in range(8)]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"""
