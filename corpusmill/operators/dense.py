@@ -18,9 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.vectors import dot, normalize
 from corpusmill.operators.sparse import RANK_DIGITS, top_k
-from corpusmill.session import fits_broadcast, spread
+from corpusmill.session import broadcast_checked, fits_broadcast, spread
 
 ROWS_PER_CELL = 100_000
 QUERIES_PER_BLOCK = 20_000
@@ -154,13 +153,73 @@ def _grid_search(wanted: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
 
 def scoped_dense_search(
-    queries: DataFrame, chunks: DataFrame, k: int, scope: str = "source_id", vector: str = "embedding"
+    queries: DataFrame, chunks: DataFrame, k: int, scope: str | tuple[str, ...] = "source_id", vector: str = "embedding"
 ) -> DataFrame:
-    """Dense search where each query only sees chunks of its own ``scope`` value."""
-    left = queries.select("query_id", scope, normalize(F.col(vector)).alias("q"))
-    right = chunks.select("chunk_id", scope, normalize(F.col(vector)).alias("c"))
-    scored = left.join(right, scope).withColumn("score", dot(F.col("q"), F.col("c")))
-    return top_k(scored.select("query_id", "chunk_id", "score"), ("query_id",), k, "score", "chunk_id")
+    """Dense search where each query only sees chunks with its own ``scope`` values.
+
+    Vectors of a scope are multiplied with the matrix of its questions, batch by
+    batch; no (question, chunk) pair becomes a row. A missing scope value sees nothing.
+    """
+    columns = (scope,) if isinstance(scope, str) else tuple(scope)
+    given = " AND ".join(f"`{c}` IS NOT NULL" for c in columns)
+    key = F.to_json(F.array(*[F.col(c).cast("string") for c in columns])).alias("scope")
+    wanted = queries.where(given).select(key, F.col("query_id").cast(_id_type(queries, "query_id")).alias("query_id"), F.col(vector).alias("embedding"))
+    # The scopes asked for prune the folders of a corpus that is laid out by them.
+    seen = chunks.join(broadcast_checked(queries.where(given).select(*columns).distinct()), list(columns), "left_semi").where(F.col(vector).isNotNull())
+    corpus = seen.select(key, F.col("chunk_id").cast(_id_type(chunks, "chunk_id")).alias("chunk_id"), F.col(vector).alias("embedding"))
+    search = _scoped_broadcast_search if fits_broadcast(wanted) else _scoped_grid_search
+    return top_k(search(wanted, corpus, k), ("query_id",), k, "score", "chunk_id")
+
+
+def _scoped_broadcast_search(wanted: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    schema = _hit_schema(wanted, corpus)
+    rows = wanted.orderBy("scope", "query_id").toArrow()  # bounded by the measurement above
+    if rows.num_rows == 0:
+        return corpus.sparkSession.createDataFrame([], schema)
+    scopes = np.array(rows.column("scope").to_pylist(), dtype=object)
+    ids, matrix = _ids(rows.column("query_id").combine_chunks()), _unit_rows(_matrix(rows.column("embedding").combine_chunks()))
+    shared = corpus.sparkSession.sparkContext.broadcast({s: (ids[scopes == s], matrix[scopes == s]) for s in set(scopes)})
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, best = shared.value, None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            named = batch.column(0).dictionary_encode()
+            codes = named.indices.to_numpy()
+            ids_here, block = _ids(batch.column(1)), _unit_rows(_matrix(batch.column(2)))
+            for code, name in enumerate(named.dictionary.to_pylist()):
+                if name in asked:
+                    here = codes == code
+                    frame = _block_best(*asked[name], ids_here[here], block[here], k)
+                    best = frame if best is None else pd.concat([best, frame])
+            if best is not None and len(best):
+                best = _merge_best(best, k)
+        if best is not None:
+            yield pa.RecordBatch.from_pandas(best.reset_index(drop=True), preserve_index=False)
+
+    return corpus.mapInArrow(score, schema)
+
+
+def _scoped_grid_search(wanted: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Every block of a scope's questions meets every cell of its vectors once."""
+    largest = lambda df: df.groupBy("scope").count().agg(F.max("count")).first()[0] or 0
+    cells = max(1, -(-largest(corpus) // ROWS_PER_CELL))
+    blocks = max(1, -(-largest(wanted) // QUERIES_PER_BLOCK))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = wanted.withColumn("block", number("query_id", blocks)).withColumn("cell", every(cells))
+    right = corpus.withColumn("cell", number("chunk_id", cells)).withColumn("block", every(blocks))
+
+    def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        unit = lambda column: _unit_rows(np.stack(column.to_numpy()).astype(np.float64))
+        query_ids, ids = (_ids(pa.array(side)) for side in (q["query_id"], c["chunk_id"]))
+        return _block_best(query_ids, unit(q["embedding"]), ids, unit(c["embedding"]), k)
+
+    keys = ("scope", "cell", "block")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, _hit_schema(wanted, corpus))
 
 
 def centroids(vectors: DataFrame, group: str, vector: str = "embedding") -> DataFrame:

@@ -30,6 +30,26 @@ def document_recall(hits: DataFrame, gold: DataFrame, queries: DataFrame) -> Dat
     )
 
 
+def part_recall(found: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:
+    """Recall of documents and of their gold parts (sections or pages) per query.
+
+    ``found`` and ``gold`` are ``(query_id, file_id, part_no)``; a query without gold
+    has recall 0.
+    """
+    key = ["query_id", "file_id", "part_no"]
+    found, gold = found.select(*key).distinct(), gold.select(*key).distinct()
+    totals = gold.groupBy("query_id").agg(F.countDistinct("file_id").alias("gold_docs"), F.count("*").alias("gold_parts"))
+    docs = found.select("query_id", "file_id").distinct().join(gold, ["query_id", "file_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("docs"))
+    parts = found.join(gold, key, "left_semi").groupBy("query_id").agg(F.count("*").alias("parts"))
+    joined = queries.select("query_id").join(totals, "query_id", "left").join(docs, "query_id", "left").join(parts, "query_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    share = lambda part, whole: F.round(F.when(zero(whole) > 0, zero(part) / F.col(whole)).otherwise(0.0), 8)
+    return joined.select(
+        "query_id", zero("gold_docs").alias("gold_docs"), zero("gold_parts").alias("gold_parts"), share("docs", "gold_docs").alias("document_recall"),
+        share("parts", "gold_parts").alias("part_recall"), (zero("parts") > 0).alias("any_evidence_hit"),
+    )
+
+
 def first_hit_rank(hits: DataFrame, gold: DataFrame) -> DataFrame:
     return hits.join(gold.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(
         F.min("rank").alias("first_hit_rank")

@@ -8,15 +8,10 @@ from corpusmill.functions.text import bm25_tokens, estimate_tokens
 from corpusmill.operators import dense, embed, fusion, rerank, sparse
 from corpusmill.plans import sqltext as Q
 from corpusmill.plans.registry import query
+from corpusmill.plans.stores import corpus, document_index, document_vectors
 from corpusmill.session import broadcast_bounded, read_table, spread
 
 
-def corpus(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_id"), "text", "lang"
-    )
-
-
 def questions(spark, sf_dir):
     return read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -26,15 +21,12 @@ def index(spark, sf_dir):
 
 
 def bm25_hits(spark, sf_dir, k, **options):
-    return sparse.bm25_search(questions(spark, sf_dir), index(spark, sf_dir), k, **options)
+    return document_index(spark, sf_dir).search(questions(spark, sf_dir), k, **options)
 
 
 def dense_hits(spark, sf_dir, k):
-    chunks = spread(corpus(spark, sf_dir), "chunk_id")
     return dense.dense_search(
-        questions(spark, sf_dir).withColumn("embedding", embed.embed(F.col("text"))),
-        chunks.select("chunk_id", embed.embed(F.col("text")).alias("embedding")),
-        k,
+        questions(spark, sf_dir).withColumn("embedding", embed.embed(F.col("text"))), document_vectors(spark, sf_dir), k
     )
 
 
