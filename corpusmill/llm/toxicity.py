@@ -42,7 +42,8 @@ PRIOR, SLIP = 1e-4, 0.02
 LEAST_TEXTS = 3
 EDGES = (4, 5, 6, 7)
 ENDS = (4, 5)
-CACHE = 400_000
+# Entries of a task's memories; emptied when full.
+TOKENS_KNOWN, WORDS_KNOWN = 200_000, 50_000
 
 WORDS = re.compile(r"[^\W\d_]+")
 TRAIL = ".,;:!?\"')]}»“”…"
@@ -207,7 +208,7 @@ def features(word: str) -> tuple[str, ...]:
 
 class _WordFeatures(dict):
     def __missing__(self, word: str) -> tuple:
-        if len(self) >= CACHE:
+        if len(self) >= WORDS_KNOWN:
             self.clear()
         value = self[word] = features(word)
         return value
@@ -227,7 +228,7 @@ def _counts(texts: DataFrame, only: set | None = None) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 found = text_features(text, cache)
                 total.update(found if only is None else found & only)
-            if len(total) > 2 * CACHE:
+            if len(total) > TOKENS_KNOWN:
                 yield told()
                 total.clear()
         yield told()
@@ -282,19 +283,41 @@ def markers(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ot
 
 # ---- scores --------------------------------------------------------------------------
 
+# Letters and signs that the channel exchanges are one; gaps are nothing.
+ONE_OF = {c: letters[0] for letters in sorted(LOOKALIKE.values(), key=len) for c in letters}  # a sign for two letters joins them
+SHAPE = {ord(c): None for c in GAPS} | {ord(c): ONE_OF[letters[0]] for c, letters in LOOKALIKE.items()} | {ord(c): to for c, to in ONE_OF.items()}
+RUNS = re.compile(r"(.)\1+", re.S)
+
+
+def shape(text: str) -> str:
+    """What all readings of ``text`` have in common: no reading holds a word whose shape is not in it."""
+    return RUNS.sub(r"\1", text.translate(SHAPE))
+
 
 class TextScorer:
     """Scores texts of one task; tokens met before are remembered."""
 
     def __init__(self, found: dict[str, float], model: np.ndarray):
         self.found, self.model, self.known = found, model.tolist(), {}
+        self.shapes: dict[int, set[str]] = {}
+        for feature in found:
+            stem = shape(feature.strip("<>"))
+            self.shapes.setdefault(len(stem), set()).add(stem)
+
+    def may_hold_marker(self, token: str) -> bool:
+        seen = shape(token)
+        return any(seen[i : i + n] in stems for n, stems in self.shapes.items() for i in range(len(seen) - n + 1))
 
     def words(self, text: str) -> float:
         get = self.found.get
         return max((get(f, 0.0) for w in WORDS.findall(text) for f in features(w)), default=0.0)
 
     def decoded(self, token: str) -> float:
-        return max(self.words(whole_words(t, left, right)) for piece, left, right in set(pieces(token)) for t in readings(piece, self.model))
+        """Best score of a reading; tokens none of whose readings can hold a marker are not decoded."""
+        if not self.may_hold_marker(token):
+            return 0.0
+        held = (p for p in set(pieces(token)) if self.may_hold_marker(p[0]))
+        return max((self.words(whole_words(t, left, right)) for piece, left, right in held for t in readings(piece, self.model)), default=0.0)
 
     def token(self, token: str) -> float:
         known = self.known.get(token)
@@ -305,7 +328,7 @@ class TextScorer:
                     known = max(known, self.decoded(inner))
             if len(token) > LONGEST_TOKEN and not token.startswith(("http", "www.")):
                 known = max([known, *(self.token(t) for t in set(GLUE.split(token)) if 1 < len(t) < len(token))])
-            if len(self.known) >= CACHE:
+            if len(self.known) >= TOKENS_KNOWN:
                 self.known.clear()
             self.known[token] = known
         return known
