@@ -47,9 +47,9 @@ FREQUENT = 256
 PAIRED = 64
 CLASS_BITS, ENTRY_BITS = 24, 27
 PARITY_BITS = 2048
-COUNT_TOKENS = 1_000_000
-KNOWN_WORDS = 200_000
-KNOWN_SETS = 200_000
+COUNT_TOKENS = 400_000
+KNOWN_WORDS = 60_000
+KNOWN_SETS = 100_000
 SLICE = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
