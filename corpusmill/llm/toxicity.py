@@ -4,7 +4,8 @@ Suspicious tokens (letters mixed with look-alike signs, single letters set
 apart by gaps of any length, letters repeated) become lattices: every sign may stand for itself, for
 a look-alike letter or for nothing. A Viterbi search finds the likeliest
 readings under a character trigram model counted over all texts. Words of the
-plain and of the restored text are scored by markers.
+plain and of the restored text are scored by markers: the best one that speaks
+alone, or several different ones together.
 
 Markers are words and word edges whose posterior odds, given their counts in
 toxic and other labelled texts, speak for toxicity. They are fitted on a bounded
@@ -40,10 +41,13 @@ THRESHOLD = 0.7
 LOWEST = 0.01
 PRIOR, SLIP = 1e-4, 0.02
 LEAST_TEXTS = 3
+# A word speaks alone if at least this share of the texts that hold it is toxic; other
+# markers (edges above all) speak only together, each with TOGETHER at most.
+ALONE, TOGETHER = 0.95, 0.65
 EDGES = (4, 5, 6, 7)
 ENDS = (4, 5)
 # Entries of a task's memories; emptied when full.
-TOKENS_KNOWN, WORDS_KNOWN = 200_000, 50_000
+TOKENS_KNOWN, WORDS_KNOWN = 300_000, 50_000
 
 WORDS = re.compile(r"[^\W\d_]+")
 TRAIL = ".,;:!?\"')]}»“”…"
@@ -273,11 +277,17 @@ def markers(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ot
     misses = {r["feature"]: r["n"] for r in _counts(sample.where("toxic = 0"), set(hits)).toLocalIterator()}
     share = size[1] / (size[0] + size[1])
     gain, loss = math.log((1 - SLIP) / share), math.log(SLIP / (1 - share))
+    # Texts of either kind for which one of the sample stands.
+    known = {r["toxic"]: r["count"] for r in named.groupBy("toxic").count().collect()}
+    weight = (known[0] / size[0]) / (known[1] / size[1])
     found = {}
     for feature, k in hits.items():
-        odds = math.log(PRIOR / (1 - PRIOR)) + k * gain + misses.get(feature, 0) * loss
+        m = misses.get(feature, 0)
+        odds = math.log(PRIOR / (1 - PRIOR)) + k * gain + m * loss
         if odds > -3:
-            found[feature] = 1 / (1 + math.exp(-min(odds, 30.0)))
+            posterior = 1 / (1 + math.exp(-min(odds, 30.0)))
+            alone = feature.isalpha() and (k + 0.5) / (k + m * weight + 1) >= ALONE
+            found[feature] = posterior if alone else min(posterior, TOGETHER)
     return found
 
 
@@ -294,38 +304,62 @@ def shape(text: str) -> str:
     return RUNS.sub(r"\1", text.translate(SHAPE))
 
 
+NOTHING = (0.0, "")
+
+
 class TextScorer:
     """Scores texts of one task; tokens met before are remembered."""
 
     def __init__(self, found: dict[str, float], model: np.ndarray):
         self.found, self.model, self.known = found, model.tolist(), {}
+        # First and last four letters of the edges: most words are told apart by them.
+        self.heads = {f[:4] for f in found if f.endswith(">")}
+        self.tails = {f[-4:] for f in found if f.startswith("<")}
+        # Weak markers count where they stand; only those that can be hits are looked for behind disguises.
         self.shapes: dict[int, set[str]] = {}
-        for feature in found:
-            stem = shape(feature.strip("<>"))
-            self.shapes.setdefault(len(stem), set()).add(stem)
+        for feature, value in found.items():
+            if value >= TOGETHER:
+                stem = shape(feature.strip("<>"))
+                self.shapes.setdefault(len(stem), set()).add(stem)
+        self.least = min(self.shapes, default=1)
+        self.starts = {stem[: self.least] for stems in self.shapes.values() for stem in stems}
 
     def may_hold_marker(self, token: str) -> bool:
         seen = shape(token)
-        return any(seen[i : i + n] in stems for n, stems in self.shapes.items() for i in range(len(seen) - n + 1))
+        for i in range(len(seen) - self.least + 1):
+            if seen[i : i + self.least] in self.starts and any(seen[i : i + n] in stems for n, stems in self.shapes.items()):
+                return True
+        return False
+
+    def best_marker(self, text: str) -> tuple[float, str]:
+        found, best = self.found, NOTHING
+        for w in WORDS.findall(text):
+            if w in found or w[:4] in self.heads or w[-4:] in self.tails:
+                best = max(best, max((found.get(f, 0.0), f) for f in features(w)))
+        return best
 
     def words(self, text: str) -> float:
-        get = self.found.get
-        return max((get(f, 0.0) for w in WORDS.findall(text) for f in features(w)), default=0.0)
+        return self.best_marker(text)[0]
 
-    def decoded(self, token: str) -> float:
-        """Best score of a reading; tokens none of whose readings can hold a marker are not decoded."""
+    def best_reading(self, token: str) -> tuple[float, str]:
+        """Best marker of a reading; tokens none of whose readings can hold a marker are not decoded."""
         if not self.may_hold_marker(token):
-            return 0.0
+            return NOTHING
         held = (p for p in set(pieces(token)) if self.may_hold_marker(p[0]))
-        return max((self.words(whole_words(t, left, right)) for piece, left, right in held for t in readings(piece, self.model)), default=0.0)
+        return max((self.best_marker(whole_words(t, left, right)) for piece, left, right in held for t in readings(piece, self.model)), default=NOTHING)
+
+    def decoded(self, token: str) -> float:
+        return self.best_reading(token)[0]
 
-    def token(self, token: str) -> float:
+    def token(self, token: str) -> tuple[float, str]:
         known = self.known.get(token)
         if known is None:
-            known = self.words(token)
-            for inner in {core(token), token.strip(EDGE)}:
+            known = self.best_marker(token)
+            bare = token.strip(EDGE)
+            plain = bare.isalpha() and len(token) <= LONGEST_TOKEN and not RUNS.search(bare)  # nothing to decode
+            for inner in () if plain else {core(token), bare}:
                 if (not inner.isalpha() or len(inner) > 3) and suspicious(inner):
-                    known = max(known, self.decoded(inner))
+                    known = max(known, self.best_reading(inner))
             if len(token) > LONGEST_TOKEN and not token.startswith(("http", "www.")):
                 known = max([known, *(self.token(t) for t in set(GLUE.split(token)) if 1 < len(t) < len(token))])
             if len(self.known) >= TOKENS_KNOWN:
@@ -334,13 +368,14 @@ class TextScorer:
         return known
 
     def score(self, text: str | None) -> float:
+        """The best single marker, or what several different ones say together."""
         if not text or not self.found:
             return LOWEST
         low = text.lower()
-        best = max(map(self.token, set(low.split())), default=0.0)
-        for m in SPACED.finditer(low):
-            best = max(best, self.decoded(SPACES.sub(" ", WIDE.sub(r"\1", m[0]))))
-        return max(LOWEST, best)
+        seen = set(map(self.token, set(low.split())))
+        seen.update(self.best_reading(SPACES.sub(" ", WIDE.sub(r"\1", m[0]))) for m in SPACED.finditer(low))
+        doubt = math.prod(1 - value for value, _ in seen if value >= TOGETHER)
+        return max(LOWEST, 1 - doubt, max((value for value, _ in seen), default=0.0))
 
 
 def held_out(doc_id) -> F.Column:
