@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.config import Settings
 from corpusmill.operators import evidence, planning, quality
-from corpusmill.operators.embed import Generator, generate
+from corpusmill.operators.embed import Embedder, Generator, generate, hashing_embedder
 from corpusmill.operators.expansion import normalize_contexts
 from corpusmill.operators.rerank import attention_order
 from corpusmill.plans.retrieve import Corpus, gated, retrieve
+from corpusmill.session import stage
 
 # Answers given when evidence is missing or not cited.
 REFUSAL = "根據目前檢索資料無法確認。"
@@ -49,6 +50,32 @@ def clock_answer(question: Column, now: Column, zone: str = "Asia/Taipei") -> Co
     )
 
 
+def refined(questions: DataFrame, contexts: DataFrame, settings: Settings, embedder: Callable[[], Embedder] = hashing_embedder) -> tuple[DataFrame, DataFrame]:
+    """Contexts after the fine or focused second pass of the settings, and their gate.
+
+    Questions whose contexts pass the gate only as they were retrieved keep those.
+    """
+    contexts = stage(contexts, "contexts")  # gate, thresholds, prompts and citations read them
+    gate = gated(questions, contexts, settings)
+    if settings.fine_evidence_enabled:
+        parts = evidence.fine_contexts(
+            contexts, questions, settings.fine_evidence_chunk_fraction, settings.fine_evidence_chunk_chars, settings.fine_evidence_overlap_chars, settings.fine_evidence_top_k,
+            settings.fine_evidence_max_groups, settings.fine_evidence_keyword_weight, settings.fine_evidence_embedding_weight, settings.fine_evidence_min_embedding_score, embedder,
+        )
+    elif settings.evidence_focus_enabled:
+        parts = evidence.focus_contexts(
+            contexts, questions, settings.evidence_focus_top_k, settings.evidence_focus_max_chars, settings.evidence_focus_keyword_weight, settings.evidence_focus_embedding_weight, embedder
+        )
+    else:
+        return contexts, gate
+    parts = stage(parts, "refined")
+    own = stage(gated(questions, parts, settings), "gate")
+    worse = stage(gate.where("sufficient").join(own.where("NOT sufficient").select("query_id"), "query_id", "left_semi"), "guarded")
+    lost = worse.select("query_id")
+    kept = parts.join(lost, "query_id", "left_anti").unionByName(contexts.join(lost, "query_id", "left_semi"), allowMissingColumns=True)
+    return kept, own.join(lost, "query_id", "left_anti").unionByName(worse)
+
+
 def answer(
     questions: DataFrame,
     corpus: Corpus,
@@ -66,8 +93,7 @@ def answer(
     routed = questions.withColumn("decision", planning.retrieval_decision(F.col("question")))
     direct = routed.filter("decision = 'direct'").select("query_id", F.lit("direct").alias("route"), F.lit(None).cast("string").alias("answer"))
     asked = routed.filter("decision <> 'direct'").drop("decision")
-    contexts = retrieve(asked, corpus, settings, **options)
-    gate = gated(asked, contexts, settings)
+    contexts, gate = refined(asked, retrieve(asked, corpus, settings, **options), settings, options.get("embedder", hashing_embedder))
     resolved = evidence.resolve_threshold(asked, contexts).select(
         "query_id",
         F.lit("threshold").alias("route"),
