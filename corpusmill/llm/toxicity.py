@@ -304,6 +304,12 @@ def shape(text: str) -> str:
     return RUNS.sub(r"\1", text.translate(SHAPE))
 
 
+def run_patterns(feature: str) -> tuple[re.Pattern, re.Pattern]:
+    """The letters of a marker, each run as long as there or longer: placed in a plain word, and anywhere."""
+    runs = "".join(f"{re.escape(m[0][0])}{{{len(m[0])},}}" for m in re.finditer(r"(.)\1*", feature.strip("<>").translate(SHAPE)))
+    return re.compile(("" if feature.startswith("<") else "^") + runs + ("" if feature.endswith(">") else "$")), re.compile(runs)
+
+
 NOTHING = (0.0, "")
 
 
@@ -316,19 +322,22 @@ class TextScorer:
         self.heads = {f[:4] for f in found if f.endswith(">")}
         self.tails = {f[-4:] for f in found if f.startswith("<")}
         # Weak markers count where they stand; only those that can be hits are looked for behind disguises.
-        self.shapes: dict[int, set[str]] = {}
+        self.shapes: dict[int, dict[str, list]] = {}
         for feature, value in found.items():
             if value >= TOGETHER:
-                stem = shape(feature.strip("<>"))
-                self.shapes.setdefault(len(stem), set()).add(stem)
+                self.shapes.setdefault(len(stem := shape(feature.strip("<>"))), {}).setdefault(stem, []).append(run_patterns(feature))
         self.least = min(self.shapes, default=1)
         self.starts = {stem[: self.least] for stems in self.shapes.values() for stem in stems}
 
     def may_hold_marker(self, token: str) -> bool:
-        seen = shape(token)
+        """Whether a reading can hold a marker: exact for its letters and their runs, for places only in plain words."""
+        seen, whole = shape(token), token.isalpha()
+        letters = token.translate(SHAPE)
         for i in range(len(seen) - self.least + 1):
-            if seen[i : i + self.least] in self.starts and any(seen[i : i + n] in stems for n, stems in self.shapes.items()):
-                return True
+            if seen[i : i + self.least] in self.starts:
+                for n, stems in self.shapes.items():
+                    if any((word if whole else anywhere).search(letters) for word, anywhere in stems.get(seen[i : i + n], ())):
+                        return True
         return False
 
     def best_marker(self, text: str) -> tuple[float, str]:
