@@ -504,3 +504,45 @@ def keyword_variants(question: Column, refined: Column, keywords: Column) -> Col
         F.array(*[F.struct(F.lit(n).alias("name"), clean_spaces(q).alias("query"), F.lit(w).alias("weight")) for n, q, w in rows]),
         lambda v: v["query"] != "",
     )
+
+
+# Labels of the lines of a rewriting model's reply.
+PRIMARY_LABEL = "向量檢索用查詢："
+QUERY_LINE = r"(?U)^\s*(?:檢索查詢|搜尋查詢)\s*\d*\s*[：:]\s*(.+?)\s*$"
+SUB_QUESTION_LINE = r"(?U)^\s*子問題\s*\d*\s*[：:]\s*(.+?)\s*$"
+LABEL_EDGES = " -•\t"
+KEYWORD_EDGES = " \t\r\n,，。！？!?、;；"
+
+
+def _labelled(reply: Column, pattern: str) -> Column:
+    """Contents of the lines of ``reply`` that match ``pattern``, in order."""
+    found = F.transform(F.filter(F.split(text_of(reply), r"\R", -1), lambda s: s.rlike(pattern)), lambda s: F.btrim(F.regexp_extract(s, pattern, 1), F.lit(LABEL_EDGES)))
+    return F.filter(found, lambda s: s != "")
+
+
+def primary_query(reply: Column) -> Column:
+    """What follows the label of the main query, else the last line of a reply."""
+    lines = F.split(strip(text_of(reply)), r"\R", -1)
+    named = F.filter(lines, lambda s: F.contains(s, F.lit(PRIMARY_LABEL)))
+    return F.when(F.size(named) > 0, strip(F.regexp_replace(F.get(named, F.lit(0)), f"^.*?{PRIMARY_LABEL}", ""))).otherwise(strip(F.element_at(lines, -1)))
+
+
+def retrieval_queries(reply: Column, limit: int = 6) -> Column:
+    """Distinct queries of a rewriting model's reply, the main one first."""
+    every = F.filter(F.concat(F.array(primary_query(reply)), _labelled(reply, QUERY_LINE)), lambda s: s != "")
+    return F.slice(F.array_distinct(every), 1, limit)
+
+
+def sub_questions(reply: Column, limit: int = 4) -> Column:
+    """Distinct sub-questions that a reply lists."""
+    return F.slice(F.array_distinct(_labelled(reply, SUB_QUESTION_LINE)), 1, limit)
+
+
+def parsed_keywords(reply: Column) -> Column:
+    """Distinct keywords of a reply: a JSON list, or the ``keywords`` of a JSON object that may stand in other text."""
+    text = strip(text_of(reply))
+    held = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    listed = F.from_json(F.when(F.startswith(text, F.lit("[")), text), "array<string>")
+    words = F.coalesce(listed, F.from_json(F.get_json_object(F.nullif(held, F.lit("")), "$.keywords"), "array<string>"), F.array().cast("array<string>"))
+    tidy = F.transform(F.filter(words, lambda w: w.isNotNull()), lambda w: F.btrim(F.regexp_replace(w, r"(?U)\s+", " "), F.lit(KEYWORD_EDGES)))
+    return F.array_distinct(F.filter(tidy, lambda w: w != ""))

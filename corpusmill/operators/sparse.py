@@ -134,6 +134,8 @@ def bm25_search(
     ``allowed`` restricts candidates, either by ``source_id`` or by
     ``(keys, source_id)``; an empty table allows nothing.
     """
+    if not isinstance(index, SparseIndex):  # a persisted index searches by itself
+        return index.search(queries, k, text, keys, k1, b, allowed, query_factor, distinct_terms, with_terms)
     k1, b = max(0.01, float(k1)), min(max(0.0, float(b)), 1.0)
     terms = query_terms(queries, text, keys)
     small = fits_broadcast(terms)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import facts
+from corpusmill.operators import facts, verify
 from corpusmill.plans.registry import query
 from corpusmill.session import read_table
 
@@ -65,3 +65,32 @@ def action_results(spark, sf_dir):
         F.col("c_custkey").alias("query_id"), F.col("c_custkey").alias("scope"), F.concat(F.lit("資料中能不能確認"), action, F.lit("是否成功？")).alias("question")
     )
     return facts.action_results(questions, order_lines(spark, sf_dir))
+
+
+@query(
+    "verifier_cascade",
+    """SELECT c_custkey AS query_id,
+        CASE c_custkey % 5 WHEN 0 THEN 'nothing' WHEN 1 THEN 'overlap' WHEN 2 THEN 'event' WHEN 3 THEN 'accept' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'reject' ELSE 'open' END END AS stage,
+        CASE WHEN c_custkey % 5 IN (1, 2, 3) THEN TRUE WHEN c_custkey % 5 = 4 AND c_custkey % 2 = 1 THEN NULL ELSE FALSE END AS is_answerable,
+        CAST(CASE c_custkey % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.85 WHEN 2 THEN 0.95 WHEN 3 THEN 0.75 ELSE CASE WHEN c_custkey % 2 = 0 THEN 0.1 END END AS DOUBLE) AS confidence,
+        CAST(CASE WHEN c_custkey % 5 = 1 THEN least(5, n) WHEN c_custkey % 5 = 2 THEN n ELSE 0 END AS BIGINT) AS n_spans
+      FROM (SELECT c_custkey, greatest(1, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey)) AS n FROM customer)""",
+)
+def verifier_cascade(spark, sf_dir):
+    """Every customer asks about their orders; the evidence at hand differs by their number."""
+    customers = read_table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    kind = key % 5
+    question = F.when(kind == 2, F.lit("這件任務的狀態？")).otherwise(F.concat(F.lit("Where is order of "), F.format_string("C%09d", key), F.lit("?")))
+    questions = customers.select(key.alias("query_id"), question.alias("question"))
+    score = F.when(kind == 3, 0.75).when((kind == 4) & (key % 2 == 1), 0.3).otherwise(0.1)
+    contexts = customers.where(kind != 0).select(
+        key.alias("query_id"), F.lit(1).alias("rank"), F.col("c_name").alias("content"), score.alias("score"),
+        F.when(kind == 3, 9.0).otherwise(0.0).alias("keyword_score"), F.lit(0.0).alias("embedding_score"),
+    )
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("position"))
+    rows = customers.join(orders, "c_custkey", "left").withColumn("position", F.coalesce("position", F.lit(0)))
+    line = F.when(kind == 1, F.concat(F.lit("- [book] note for "), F.format_string("C%09d", key))).when(kind == 2, F.lit("- 狀態: 已完成")).otherwise(F.lit("plain line"))
+    lines = rows.select(key.alias("query_id"), "position", line.alias("line"))
+    out = verify.verify_retrieval(questions, contexts, lines, auto_accept=True)
+    return out.select("query_id", "stage", "is_answerable", "confidence", F.size("evidence_spans").cast("long").alias("n_spans"))

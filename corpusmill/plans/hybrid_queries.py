@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chunking, keyword, metrics
+from corpusmill.operators.postings import PostingStore
 from corpusmill.plans import ask, retrieve
 from corpusmill.plans.answer_queries import gold_pairs
 from corpusmill.plans.chunk_queries import PIECES_SQL, pieces, units
 from corpusmill.plans.registry import query
 from corpusmill.plans.search_queries import dense_hits, questions
-from corpusmill.session import read_table, stage
+from corpusmill.plans.stores import files_digest, folder, kept
+from corpusmill.session import read_table
 
 KEYWORD_SQL = f"""{PIECES_SQL},
     kc AS (SELECT doc_id AS chunk_id, regexp_replace(text, '\\s+', '', 'g') AS dense, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_,.]+'), lambda x: lower(x))) AS own FROM pc),
@@ -46,11 +48,19 @@ def keyword_hybrid_search(spark, sf_dir):
 
 
 def corpus(spark, sf_dir):
-    parents, children = chunking.parent_child(units(spark, sf_dir), 256, 64, reuse=True)
+    """Children with embeddings, parents and the index of the children, built once per state of the table."""
+    name = files_digest(read_table(spark, sf_dir, "documents"))
+    at = lambda kind: folder(spark, kind, name)
+    cut = lambda: chunking.parent_child(units(spark, sf_dir), 256, 64, reuse=True)
     order = F.col("source_id").cast("long") * 100_000_000 + F.col("parent_index") * 10_000 + F.col("child_index")
-    # Chunking feeds both searches, the texts and the parents: cut once.
-    children = stage(children.withColumn("chunk_id", order), "children")
-    return retrieve.build_corpus(children, parents)
+    parents = kept(lambda: cut()[0], spark, at("parents"))
+    children = kept(lambda: cut()[1].withColumn("chunk_id", order), spark, at("children"))
+    built = retrieve.build_corpus(children, parents)
+    chunks = kept(lambda: built.chunks, spark, at("chunks"))
+    store = PostingStore(spark, at("chunkindex"))
+    if not store.version():
+        store.add(built.index.vectors)
+    return retrieve.Corpus(chunks, parents, store)
 
 
 @query("hybrid_retrieve")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -13,7 +12,7 @@ from corpusmill.plans import sqltext as Q
 from corpusmill.plans.answer_queries import PASSAGE_SQL, gold_spans, retrieved_spans
 from corpusmill.plans.registry import query
 from corpusmill.plans.search_queries import hits_out, questions
-from corpusmill.plans.stores import corpus, files_digest, folder
+from corpusmill.plans.stores import corpus, files_digest, folder, written
 from corpusmill.session import read_table
 
 LARGEST_SOURCE = "(SELECT source FROM documents WHERE source IS NOT NULL GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)"
@@ -200,7 +199,7 @@ def scoped_retrieve(spark, sf_dir):
     """Languages as tenants, sources as their bases: each item is asked in one scope, some without a version."""
     documents = read_table(spark, sf_dir, "documents")
     path = folder(spark, "scoped", files_digest(documents))
-    if not _written(spark, path):
+    if not written(spark, path):
         chunks = documents.where("lang IS NOT NULL AND source IS NOT NULL").select(
             F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_id"), F.col("text").alias("content"), F.col("lang").alias("tenant_id"),
             F.col("source").alias("kb_id"), F.lit("v1").alias("index_version_id"), embed(F.col("text")).alias("embedding"),
@@ -213,10 +212,3 @@ def scoped_retrieve(spark, sf_dir):
     )
     out = scoped.scoped_retrieve(asked, spark, path)
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "source_id", F.round("fusion_score", 9).alias("fusion_score"), F.round("bm25_score", 6).alias("bm25_score"), F.round("embedding_score", 6).alias("embedding_score"))
-
-
-def _written(spark, path):
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False

@@ -12,6 +12,7 @@ from corpusmill.config import Settings
 from corpusmill.functions.text import embedding_text, indexed_text, text_of
 from corpusmill.operators import dense, evidence, expansion, fusion, planning, rerank, sparse
 from corpusmill.operators.embed import Embedder, PairScorer, embed, hashing_embedder, overlap_scorer
+from corpusmill.operators.postings import PostingStore
 from corpusmill.session import broadcast_bounded
 
 
@@ -25,7 +26,7 @@ class Corpus:
 
     chunks: DataFrame
     parents: DataFrame
-    index: sparse.SparseIndex
+    index: sparse.SparseIndex | PostingStore
 
 
 def build_corpus(children: DataFrame, parents: DataFrame, factory: Callable[[], Embedder] = hashing_embedder) -> Corpus:

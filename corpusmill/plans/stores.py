@@ -6,6 +6,9 @@ built from (path, size, time of change): a changed table gets new ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,21 @@ def folder(spark: SparkSession, kind: str, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpusmill-{kind}-{name}"
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written at ``path``; one that failed half way is not."""
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
+def kept(make: Callable[[], DataFrame], spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path``, made and written by the first call."""
+    if not written(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_id"), "text", "lang"
