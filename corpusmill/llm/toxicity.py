@@ -381,7 +381,8 @@ class TextScorer:
         if not text or not self.found:
             return LOWEST
         low = text.lower()
-        seen = set(map(self.token, set(low.split())))
+        known, token = self.known.get, self.token
+        seen = {known(t) or token(t) for t in set(low.split())}
         seen.update(self.best_reading(SPACES.sub(" ", WIDE.sub(r"\1", m[0]))) for m in SPACED.finditer(low))
         doubt = math.prod(1 - value for value, _ in seen if value >= TOGETHER)
         return max(LOWEST, 1 - doubt, max((value for value, _ in seen), default=0.0))
