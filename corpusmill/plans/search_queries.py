@@ -21,7 +21,7 @@ def index(spark, sf_dir):
 
 
 def bm25_hits(spark, sf_dir, k, **options):
-    return document_index(spark, sf_dir).search(questions(spark, sf_dir), k, **options)
+    return sparse.bm25_search(questions(spark, sf_dir), document_index(spark, sf_dir), k, **options)
 
 
 def dense_hits(spark, sf_dir, k):

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators import sparse
-from corpusmill.operators.postings import PostingStore
 from corpusmill.operators.vectorstore import VectorStore
 from corpusmill.session import ensure_checkpoint_dir, read_table
 
@@ -50,12 +49,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_index(spark: SparkSession, sf_dir: str) -> PostingStore:
-    """Index of all documents; the first call builds it, later ones find it by the files' digest."""
-    store = PostingStore(spark, folder(spark, "index", files_digest(read_table(spark, sf_dir, "documents"))))
-    if not store.version():
-        store.add(sparse.build_index(corpus(spark, sf_dir), "text", source_id="source_id").vectors)
-    return store
+def document_index(spark: SparkSession, sf_dir: str) -> sparse.SparseIndex:
+    """Term vectors of all documents; the first call writes them, later ones find them by the files' digest."""
+    path = folder(spark, "terms", files_digest(read_table(spark, sf_dir, "documents")))
+    return sparse.SparseIndex(kept(lambda: sparse.build_index(corpus(spark, sf_dir), "text", source_id="source_id").vectors, spark, path))
 
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
