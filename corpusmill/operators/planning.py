@@ -281,20 +281,26 @@ def planned_queries(questions: DataFrame, max_variants: int = 2) -> DataFrame:
     return questions.select("query_id", F.posexplode(tidy).alias("variant", "text"))
 
 
-def expand_with_aliases(questions: DataFrame, aliases: DataFrame, question: str = "question") -> DataFrame:
-    """Append the terms of every alias record a question mentions.
+def _alias_terms() -> tuple[Column, Column]:
+    """Primary and support terms of an alias record."""
+    primary = F.array_compact(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    support = F.array_compact(
+        F.concat(F.coalesce("related_terms", F.array().cast("array<string>")), F.coalesce("triggers", F.array().cast("array<string>")))
+    )
+    return primary, support
+
 
-    ``aliases(record_no, canonical, aliases, related_terms, triggers)``. A primary
-    term matches as a substring or by all of its tokens, a support term only as a
-    substring longer than two characters. Both become equi-joins.
+def alias_matches(questions: DataFrame, aliases: DataFrame, question: str = "question") -> DataFrame:
+    """Distinct ``query_id, record_no`` of the alias records that a question mentions.
+
+    A primary term matches as a substring or by all of its tokens, a support term
+    only as a substring longer than two characters. Both become equi-joins. Every
+    ``query_id`` is one question.
     """
     from corpusmill.operators.matching import contains_pairs
 
+    primary, support = _alias_terms()
     asked = questions.select("query_id", F.lower(text_of(question)).alias("_q"))
-    primary = F.array_compact(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>"))))
-    support = F.array_compact(
-        F.concat(F.coalesce("related_terms", F.array().cast("array<string>")), F.coalesce("triggers", F.array().cast("array<string>")))
-    )
     terms = aliases.select("record_no", F.explode(F.transform(primary, lambda t: F.struct(strip(t).alias("term"), F.lit(True).alias("p")))).alias("t")).unionByName(
         aliases.select("record_no", F.explode(F.transform(support, lambda t: F.struct(strip(t).alias("term"), F.lit(False).alias("p")))).alias("t"))
     ).select("record_no", F.lower("t.term").alias("term"), F.col("t.p").alias("is_primary")).filter("term <> ''")
@@ -307,7 +313,17 @@ def expand_with_aliases(questions: DataFrame, aliases: DataFrame, question: str
     by_token = (
         have.join(wanted, "tok").groupBy("query_id", "term_no", "record_no", "need").agg(F.count("*").alias("n")).filter("n = need")
     )
-    matched = by_text.select("query_id", "record_no").unionByName(by_token.select("query_id", "record_no")).distinct()
+    return by_text.select("query_id", "record_no").unionByName(by_token.select("query_id", "record_no")).distinct()
+
+
+def expand_with_aliases(questions: DataFrame, aliases: DataFrame, question: str = "question") -> DataFrame:
+    """Append the terms of every alias record a question mentions.
+
+    ``aliases(record_no, canonical, aliases, related_terms, triggers)``, matched as
+    in ``alias_matches``.
+    """
+    primary, support = _alias_terms()
+    matched = alias_matches(questions, aliases, question)
     added = matched.join(
         aliases.select("record_no", "canonical", F.filter(F.transform(F.concat(primary, support), strip), lambda t: t != "").alias("adds")), "record_no"
     )

@@ -90,9 +90,10 @@ def alias_expansion(spark, sf_dir):
         F.array().cast("array<string>").alias("triggers"),
     )
     turns = read_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
-    out = planning.expand_with_aliases(turns, aliases).filter(F.size("matched_aliases") > 0)
-    numbered = aliases.select("record_no", "canonical")
-    rows = out.select("query_id", F.explode("matched_aliases").alias("canonical")).join(numbered, "canonical")
+    # Turns may share a number: each is matched by itself. Records may share a name: only those that matched count.
+    numbered = turns.select(F.struct("query_id", F.xxhash64(F.lower("question")).alias("text")).alias("query_id"), "question").dropDuplicates(["query_id"])
+    matched = planning.alias_matches(numbered, aliases).select("query_id.query_id", "record_no")
+    rows = matched.join(F.broadcast(aliases.select("record_no", "canonical")), "record_no")
     return rows.groupBy("query_id").agg(F.countDistinct("canonical").alias("n_aliases"), F.min("record_no").alias("first_record"))
 
 

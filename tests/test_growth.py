@@ -24,3 +24,26 @@ def test_lexical_search_keeps_one_row_per_chunk(spark, monkeypatch):
     assert tables["kept"].count() == len(rows)
     monkeypatch.setattr(sparse, "fits_broadcast", lambda *_: False)
     assert here == (hits(), hits(allowed=allowed))
+
+
+def test_records_of_one_name_count_when_they_match(spark, tmp_path):
+    from corpusmill.plans import registry
+
+    registry.load_all()
+    items = [(3, "red apple pear tail"), (7, "red apple plum tail"), (9, "blue stone moss tail")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # Two turns have the number 200; only the first one has all words of a name.
+    turns = [(1, 0, "a plum"), (2, 0, "apple and red"), (1, 100, "apple and red"), (4, 0, "stone"), (4, 0, "blue")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = registry.QUERIES["alias_expansion"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in rows) == [(100, 1, 7), (200, 1, 3)]
+
+
+def test_open_entities_of_pages_stay(spark):
+    from pyspark.sql import functions as F
+
+    from corpusmill.sources.documents import html_text
+
+    df = spark.createDataFrame([("x &amp{a} &amp; &amp;lt; &copy;\n &quot y",)], "h string")
+    row = df.select(html_text(F.col("h"), closed=True).alias("c"), html_text(F.col("h")).alias("o")).first()
+    assert row["c"] == "x &amp{a} & &lt; ©\n&quot y" and row["o"] == 'x &{a} & &lt; ©\n" y'
