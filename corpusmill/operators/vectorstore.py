@@ -10,8 +10,9 @@ of another one is refused.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,19 @@ def digest(text: Column | str) -> Column:
     return F.sha2(F.encode(text_of(text), "UTF-8"), 256)
 
 
+def _first_of_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of every digest; all rows of a digest are in one partition."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        new = []
+        for i, value in enumerate(batch.column(0).to_pylist()):
+            key = bytes.fromhex(value)
+            if key not in seen:
+                seen.add(key)
+                new.append(i)
+        yield batch.take(pa.array(new, pa.int64()))
+
+
 class VectorStore:
     """Vectors of one ``model`` under ``root``."""
 
@@ -52,8 +66,9 @@ class VectorStore:
 
     def add(self, texts: DataFrame, text: str = "content") -> int:
         """Embed and store the texts not stored yet; returns how many."""
-        wanted = texts.select(digest(text).alias("digest"), text_of(text).alias("text")).dropDuplicates(["digest"])
-        fresh = wanted.join(self.vectors().select("digest"), "digest", "left_anti")
+        # Equal texts meet without being sorted: dropDuplicates would sort whole texts twice.
+        wanted = texts.select(digest(text).alias("digest"), text_of(text).alias("text")).repartition("digest")
+        fresh = wanted.join(self.vectors().select("digest"), "digest", "left_anti").mapInArrow(_first_of_digest, "digest string, text string")
         batch = uuid.uuid4().hex
         path = f"{self.root}/vectors/model={self.model}/batch={batch}"
         # Sorted by digest, so that a later join reads its side in order of row groups.
