@@ -196,9 +196,16 @@ def parent_child(
     refers to its parent by ``parent_id``; the parent text is not repeated. With
     ``reuse`` the parents are written once and read by both consumers.
     """
-    parent_tokens, child_tokens = max(1, int(parent_tokens)), max(1, int(child_tokens))
+    parents = parents_of(units, parent_tokens, parent_overlap)
+    if reuse:
+        parents = stage(parents, "parents")
+    return parents, children_of(parents, child_tokens, child_overlap)
+
+
+def parents_of(units: DataFrame, parent_tokens: int = 1024, parent_overlap: int = 0) -> DataFrame:
+    """Parents of extraction units, as in ``parent_child``."""
+    parent_tokens = max(1, int(parent_tokens))
     parent_overlap = max(0, min(int(parent_overlap), parent_tokens - 1))
-    child_overlap = max(0, min(int(child_overlap), child_tokens - 1))
     name = F.col("filename")
     stem = F.when(F.contains(name, F.lit(".")), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
     base = units.select(
@@ -216,7 +223,7 @@ def parent_child(
     )
     cut = chunk(base, "body", parent_tokens, count_tokens=True, strategy="dynamic", overlap_tokens=parent_overlap)
     suffix = F.concat(F.col("unit_index"), F.lit("-"), F.col("part"))
-    parents = cut.select(
+    return cut.select(
         "source_id",
         "unit_index",
         F.concat(F.col("source_id"), F.lit("::parent::"), suffix).alias("parent_id"),
@@ -230,8 +237,12 @@ def parent_child(
         "content",
         "token_count",
     )
-    if reuse:
-        parents = stage(parents, "parents")
+
+
+def children_of(parents: DataFrame, child_tokens: int = 256, child_overlap: int = 0) -> DataFrame:
+    """Children inside each parent, as in ``parent_child``."""
+    child_tokens = max(1, int(child_tokens))
+    child_overlap = max(0, min(int(child_overlap), child_tokens - 1))
     pieces = chunk(
         parents.withColumn("body", F.col("content")).drop("content").withColumnRenamed("token_count", "parent_token_count"),
         "body",
@@ -240,7 +251,7 @@ def parent_child(
         strategy="dynamic",
         overlap_tokens=child_overlap,
     )
-    children = pieces.select(
+    return pieces.select(
         "source_id",
         "unit_index",
         "parent_id",
@@ -257,7 +268,6 @@ def parent_child(
         "token_count",
         "parent_token_count",
     )
-    return parents, children
 
 
 def document_chunks(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chunking, keyword, metrics
-from corpusmill.operators.postings import PostingStore
 from corpusmill.plans import ask, retrieve
 from corpusmill.plans.answer_queries import gold_pairs
 from corpusmill.plans.chunk_queries import PIECES_SQL, pieces, units
@@ -48,19 +47,17 @@ def keyword_hybrid_search(spark, sf_dir):
 
 
 def corpus(spark, sf_dir):
-    """Children with embeddings, parents and the index of the children, built once per state of the table."""
+    """Parents, and children with embeddings, written once per state of the table.
+
+    A batch of questions reads the children once and keeps the words it asks for,
+    so no index of all words lies beside them.
+    """
     name = files_digest(read_table(spark, sf_dir, "documents"))
-    at = lambda kind: folder(spark, kind, name)
-    cut = lambda: chunking.parent_child(units(spark, sf_dir), 256, 64, reuse=True)
     order = F.col("source_id").cast("long") * 100_000_000 + F.col("parent_index") * 10_000 + F.col("child_index")
-    parents = kept(lambda: cut()[0], spark, at("parents"))
-    children = kept(lambda: cut()[1].withColumn("chunk_id", order), spark, at("children"))
-    built = retrieve.build_corpus(children, parents)
-    chunks = kept(lambda: built.chunks, spark, at("chunks"))
-    store = PostingStore(spark, at("chunkindex"))
-    if not store.version():
-        store.add(built.index.vectors)
-    return retrieve.Corpus(chunks, parents, store)
+    parents = kept(lambda: chunking.parents_of(units(spark, sf_dir), 256), spark, folder(spark, "parents", name))
+    made = lambda: retrieve.build_corpus(chunking.children_of(parents, 64).withColumn("chunk_id", order), parents).chunks
+    chunks = kept(made, spark, folder(spark, "chunks", name))
+    return retrieve.Corpus(chunks, parents, retrieve.build_index(chunks))
 
 
 @query("hybrid_retrieve")

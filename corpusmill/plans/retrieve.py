@@ -29,14 +29,18 @@ class Corpus:
     index: sparse.SparseIndex | PostingStore
 
 
+def build_index(chunks: DataFrame) -> sparse.SparseIndex:
+    """Index over titles, source and text."""
+    text = indexed_text(F.col("parent_title"), F.col("title"), F.col("source_id"), F.col("page"), F.col("content"))
+    return sparse.build_index(chunks.withColumn("_text", text), "_text", source_id="source_id")
+
+
 def build_corpus(children: DataFrame, parents: DataFrame, factory: Callable[[], Embedder] = hashing_embedder) -> Corpus:
     """Number the children by their place and index titles, source and text."""
     chunks = children.withColumn("page", text_of("page")).withColumn(
         "embedding", embed(embedding_text(F.col("parent_title"), F.col("title"), F.col("content")), factory)
     )
-    text = indexed_text(F.col("parent_title"), F.col("title"), F.col("source_id"), F.col("page"), F.col("content"))
-    index = sparse.build_index(children.withColumn("_text", text), "_text", source_id="source_id")
-    return Corpus(chunks, parents, index)
+    return Corpus(chunks, parents, build_index(children))
 
 
 def _clamp_k(settings: Settings, top_k: int | None, candidate_k: int | None) -> tuple[int, int]:

@@ -47,3 +47,26 @@ def test_open_entities_of_pages_stay(spark):
     df = spark.createDataFrame([("x &amp{a} &amp; &amp;lt; &copy;\n &quot y",)], "h string")
     row = df.select(html_text(F.col("h"), closed=True).alias("c"), html_text(F.col("h")).alias("o")).first()
     assert row["c"] == "x &amp{a} & &lt; ©\n&quot y" and row["o"] == 'x &{a} & &lt; ©\n" y'
+
+
+def test_equal_texts_are_embedded_once_without_sorting_texts(spark, tmp_path):
+    from corpusmill.operators.vectorstore import VectorStore, _first_of_digest, digest
+
+    texts = spark.createDataFrame([(i, f"text {i % 5}") for i in range(40)] + [(40, None), (41, "")], "chunk_id long, content string")
+    store = VectorStore(spark, str(tmp_path))
+    assert store.add(texts) == 6 and store.add(texts) == 0
+    assert store.embedded(texts).where("embedding IS NOT NULL").count() == 42
+    plan = texts.select(digest("content").alias("digest"), "content").repartition("digest").mapInArrow(_first_of_digest, "digest string, text string")
+    assert "Sort" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_route_writes_chunks_and_parents_only(spark, tmp_path, monkeypatch):
+    from corpusmill.plans import hybrid_queries
+
+    kinds = []
+    monkeypatch.setattr(hybrid_queries, "folder", lambda spark, kind, name: kinds.append(kind) or f"{tmp_path}/{kind}")
+    rows = [(i, f"word{i} stands. " * 90, "en", "s1") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = hybrid_queries.corpus(spark, str(tmp_path))
+    assert sorted(kinds) == ["chunks", "parents"]
+    assert made.chunks.join(made.parents, "parent_id", "left_semi").count() == made.chunks.count() == made.index.vectors.count() > 3
