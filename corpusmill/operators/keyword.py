@@ -81,40 +81,107 @@ def _matrix_search(grams: DataFrame, tokens: DataFrame, chunks: DataFrame, k: in
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, (gram_row, gram_points), (token_row, token_times) = shared.value
-        by_prefix: dict[str, list[str]] = {}
-        for token in token_row:
-            by_prefix.setdefault(token[:4], []).append(token)
+        tree = _Substrings([*gram_row, *token_row])
         best = None
         for frame in batches:
-            scores = np.zeros((len(query_ids), len(frame)))
-            for i, text in enumerate(frame["content"].fillna("")):
-                body = _SPACE.sub("", text)
-                have = {body[p : p + n] for n in GRAM_SIZES for p in range(len(body) - n + 1)}
-                rows = [gram_row[x] for x in have if x in gram_row]
-                if rows:
-                    scores[:, i] += gram_points[rows].sum(axis=0)
-                own = {x.lower() for x in _TOKENS.findall(text)} | set(_CJK.findall(text))
-                exact = [token_row[x] for x in own if x in token_row]
-                if exact:
-                    scores[:, i] += 3 * token_times[exact].sum(axis=0)
-                loose = [
-                    token_row[x]
-                    for prefix, found in by_prefix.items()
-                    if len(prefix) < 2 or prefix in have
-                    for x in found
-                    if x not in own and x in body
-                ]
-                if loose:
-                    scores[:, i] += token_times[loose].sum(axis=0)
-            q, c, s = _best(query_ids, _ids(pa.array(frame["chunk_id"])), scores, k)
-            hits = pd.DataFrame({"query_id": q, "chunk_id": c, "score": s})
-            best = hits if best is None else _merge_best(pd.concat([best, hits]), k)
+            texts = frame["content"].fillna("").tolist()
+            bodies = [_SPACE.sub("", text) for text in texts]
+            ids_here = _ids(pa.array(frame["chunk_id"]))
+            for low, high in _cuts([len(b) for b in bodies], max(1, CELLS_AT_ONCE // tree.size)):
+                have = tree.found(bodies[low:high])
+                scores = have[:, : len(gram_row)].astype(np.float32) @ gram_points
+                loose = have[:, len(gram_row) :].astype(np.float32)
+                for i, text in enumerate(texts[low:high]):
+                    exact = [token_row[x] for x in {x.lower() for x in _TOKENS.findall(text)} | set(_CJK.findall(text)) if x in token_row]
+                    loose[i, exact] = 3
+                scores = (scores + loose @ token_times).T.astype(np.float64)
+                q, c, s = _best(query_ids, ids_here[low:high], scores, k)
+                hits = pd.DataFrame({"query_id": q, "chunk_id": c, "score": s})
+                best = hits if best is None else _merge_best(pd.concat([best, hits]), k)
         if best is not None:
             yield best
 
     return spread(chunks, "chunk_id").mapInPandas(score, schema)
 
 
+# Cells of a presence table, and characters of texts, that a task handles at once.
+CELLS_AT_ONCE = 16_000_000
+CHARS_AT_ONCE = 1_000_000
+# Cells up to which the children of the tree are looked up in a plain table.
+TABLE_CELLS = 32_000_000
+
+
+def _cuts(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of bounded number and length; a longer text is a run of its own."""
+    low = total = 0
+    for i, n in enumerate(lengths):
+        if i > low and (i - low >= most or total + n > CHARS_AT_ONCE):
+            yield low, i
+            low, total = i, 0
+        total += n
+    if low < len(lengths):
+        yield low, len(lengths)
+
+
+class _Substrings:
+    """Which of given strings occur in texts: a prefix tree walked from all positions at once."""
+
+    def __init__(self, strings: list[str]):
+        letters = sorted({c for s in strings for c in s})
+        self.letter = np.zeros(max(map(ord, letters), default=0) + 2, dtype=np.int64)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.wide = len(letters) + 1
+        number = {c: i + 1 for i, c in enumerate(letters)}
+        children: dict[tuple[int, int], int] = {}
+        self.ends = np.zeros(len(strings), dtype=np.int64)
+        for row, s in enumerate(strings):
+            node = 0
+            for c in s:
+                node = children.setdefault((node, number[c]), len(children) + 1)
+            self.ends[row] = node
+        self.size = len(children) + 1
+        keys = np.array([n * self.wide + c for n, c in children], dtype=np.int64)
+        nodes = np.fromiter(children.values(), dtype=np.int64, count=len(children))
+        self.inner = np.zeros(self.size, dtype=bool)
+        self.inner[keys // self.wide] = True
+        self.table = None
+        if self.size * self.wide <= TABLE_CELLS:
+            self.table = np.zeros(self.size * self.wide, dtype=np.int32)
+            self.table[keys] = nodes
+        order = np.argsort(keys)
+        self.keys, self.nodes = keys[order], nodes[order]
+
+    def _child(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        key = node * self.wide + letter
+        if self.table is not None:
+            return self.table[key]
+        if not len(self.keys):
+            return np.zeros(len(key), dtype=np.int64)
+        at = np.searchsorted(self.keys, key).clip(max=len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.nodes[at], 0)
+
+    def found(self, texts: list[str]) -> np.ndarray:
+        """Texts x strings."""
+        # A sign that no string has ends every text, and so does the end of all.
+        codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letters = self.letter[np.minimum(codes, len(self.letter) - 1)]
+        row = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+        letters[np.cumsum([len(t) + 1 for t in texts]) - 1] = 0
+        have = np.zeros((len(texts), self.size), dtype=bool)
+        have[:, 0] = True
+        at = np.flatnonzero(letters)
+        node = np.zeros(len(at), dtype=np.int64)
+        start = at
+        while len(at):
+            node = self._child(node, letters[at])
+            live = node > 0
+            at, start, node = at[live], start[live], node[live]
+            have[row[start], node] = True
+            more = self.inner[node]
+            at, start, node = at[more] + 1, start[more], node[more]
+        return have[:, self.ends]
+
+
 def _join_search(grams: DataFrame, tokens: DataFrame, chunks: DataFrame) -> DataFrame:
     """The same score through joins, for question sets too large to broadcast."""
     rows = spread(chunks, "chunk_id").withColumn("_d", dense_text(F.col("content")))

@@ -70,3 +70,25 @@ def test_whole_route_writes_chunks_and_parents_only(spark, tmp_path, monkeypatch
     made = hybrid_queries.corpus(spark, str(tmp_path))
     assert sorted(kinds) == ["chunks", "parents"]
     assert made.chunks.join(made.parents, "parent_id", "left_semi").count() == made.chunks.count() == made.index.vectors.count() > 3
+
+
+def test_substrings_are_found_from_all_positions_at_once(spark, monkeypatch):
+    from corpusmill.operators import keyword
+
+    rng = random.Random(5)
+    word = lambda signs, most: "".join(rng.choice(signs) for _ in range(rng.randrange(1, most)))
+    strings = list(dict.fromkeys([word("abßc文", 7) for _ in range(80)]))
+    texts = ["", "a", "x" * 9, *[word("abßc文X\U0001f600\0", 60) for _ in range(60)]]
+    want = [[s in t for s in strings] for t in texts]
+    assert keyword._Substrings(strings).found(texts).tolist() == want
+    monkeypatch.setattr(keyword, "TABLE_CELLS", 0)
+    assert keyword._Substrings(strings).found(texts).tolist() == want
+    assert keyword._Substrings([]).found(["a"]).shape == (1, 0)
+    monkeypatch.setattr(keyword, "CHARS_AT_ONCE", 10)
+    assert list(keyword._cuts([4, 4, 4, 99, 1], 2)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+    monkeypatch.setattr(keyword, "CELLS_AT_ONCE", 3)
+    asked = spark.createDataFrame([(1, "red Apple pie"), (2, "文文 pie_2, ap"), (3, "")], "query_id long, text string")
+    chunks = spark.createDataFrame([(i, " ".join(rng.choice(["red", "Apple", "pie_2,", "applepie", "文文", "p"]) for _ in range(6))) for i in range(30)] + [(99, None)], "chunk_id long, content string")
+    here = keyword.keyword_search(asked, chunks, 7).collect()
+    monkeypatch.setattr(keyword, "fits_broadcast", lambda *_: False)
+    assert sorted(here) == sorted(keyword.keyword_search(asked, chunks, 7).collect()) and here
