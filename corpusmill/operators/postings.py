@@ -23,12 +23,15 @@ of an older number still find its files. There is one writer at a time.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators.sparse import idf, query_terms, term_score, top_k
+from corpusmill.operators.sparse import _list_rows, idf, query_terms, term_score, top_k
 from corpusmill.session import BROADCAST_LIMIT_BYTES, broadcast_checked, stage
 
 BUCKETS = 64
@@ -38,11 +41,32 @@ MERGE_AT = 8
 PRUNE_ABOVE = 50_000_000
 MARGIN = 1e-6  # far above the rounding of a sum of scores
 ENTRY = "array<struct<slot: int, tf: int, length: int>>"
-BLOCKS = f"term string, window long, n int, max_tf int, min_length int, entries {ENTRY}, segment int, bucket int"
+MADE = f"term string, window long, n int, max_tf int, min_length int, entries {ENTRY}"
+BLOCKS = f"{MADE}, segment int, bucket int"
 DOCS = "window long, slot int, chunk_id {id}, ordinal {ordinal}, source_id string, length int, segment int"
 MANIFEST = "kind string, name int, segment int, n_chunks long, total_length long, version int"
 
 
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the chunks of each batch. A window in two batches has two blocks of a term: all uses add them up."""
+    for batch in batches:
+        window, slot, length = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        rows, coded = _list_rows(batch.column(3)), batch.column(3).flatten().dictionary_encode()
+        if not len(rows):
+            continue
+        code, tf = coded.indices.to_numpy(zero_copy_only=False), batch.column(4).flatten().to_numpy(zero_copy_only=False)
+        order = np.lexsort((slot[rows], window[rows], code))
+        rows, code, tf = rows[order], code[order], tf[order]
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(code) != 0) | (np.diff(window[rows]) != 0)]))
+        ints = lambda values: pa.array(values, pa.int32())
+        entries = pa.StructArray.from_arrays([ints(slot[rows]), ints(tf), ints(length[rows])], ["slot", "tf", "length"])
+        columns = [
+            coded.dictionary.take(pa.array(code[starts])), pa.array(window[rows][starts]), ints(np.diff([*starts, len(rows)])),
+            ints(np.maximum.reduceat(tf, starts)), ints(np.minimum.reduceat(length[rows], starts)), pa.ListArray.from_arrays(ints([*starts, len(rows)]), entries),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "window", "n", "max_tf", "min_length", "entries"])
+
+
 class PostingStore:
     """An index under ``root``; any path that Spark can write and read."""
 
@@ -130,12 +154,8 @@ class PostingStore:
         )
         numbered = stage(place, "numbered")
         numbered.drop("terms").write.mode("overwrite").parquet(f"{self.root}/docs/segment={name}")
-        postings = numbered.select("window", "slot", "length", F.explode("terms").alias("t"))
-        # A window has at most ``window`` chunks, so a block is one small row.
-        blocks = postings.groupBy(F.col("t.term").alias("term"), "window").agg(
-            F.count("*").cast("int").alias("n"), F.max("t.tf").cast("int").alias("max_tf"), F.min("length").alias("min_length"),
-            F.array_sort(F.collect_list(F.struct("slot", F.col("t.tf").cast("int").alias("tf"), "length"))).alias("entries"),
-        )
+        # Chunks of a window lie side by side, so its blocks are made where they lie.
+        blocks = numbered.select("window", "slot", "length", F.col("terms.term").alias("names"), F.col("terms.tf").alias("tfs")).mapInArrow(_blocks_of, MADE)
         placed = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
         order = ["bucket", "term", "window"]
         placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/blocks/segment={name}")

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from corpusmill.operators import sparse
 
 
@@ -40,8 +42,6 @@ def test_records_of_one_name_count_when_they_match(spark, tmp_path):
 
 
 def test_open_entities_of_pages_stay(spark):
-    from pyspark.sql import functions as F
-
     from corpusmill.sources.documents import html_text
 
     df = spark.createDataFrame([("x &amp{a} &amp; &amp;lt; &copy;\n &quot y",)], "h string")
@@ -92,3 +92,16 @@ def test_substrings_are_found_from_all_positions_at_once(spark, monkeypatch):
     here = keyword.keyword_search(asked, chunks, 7).collect()
     monkeypatch.setattr(keyword, "fits_broadcast", lambda *_: False)
     assert sorted(here) == sorted(keyword.keyword_search(asked, chunks, 7).collect()) and here
+
+
+def test_blocks_are_made_where_their_chunks_lie():
+    import pyarrow as pa
+
+    from corpusmill.operators import postings
+
+    columns = {"window": pa.array([4, 4, 5], pa.int64()), "slot": pa.array([0, 1, 0], pa.int32()), "length": pa.array([3, 2, 1], pa.int32())}
+    columns |= {"names": pa.array([["a", "b"], ["b"], []], pa.list_(pa.string())), "tfs": pa.array([[1, 2], [5], []], pa.list_(pa.int32()))}
+    made = pa.Table.from_batches(postings._blocks_of([pa.RecordBatch.from_pydict(columns)])).to_pylist()
+    entry = lambda slot, tf, length: {"slot": slot, "tf": tf, "length": length}
+    block = lambda term, n, most, short, *entries: {"term": term, "window": 4, "n": n, "max_tf": most, "min_length": short, "entries": list(entries)}
+    assert made == [block("a", 1, 1, 3, entry(0, 1, 3)), block("b", 2, 5, 2, entry(0, 2, 3), entry(1, 5, 2))]
