@@ -26,7 +26,6 @@ are ignored, or kept by ``drop_near_copies``.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -35,26 +34,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from corpusmill.llm.batches import slices
 from corpusmill.session import broadcast_checked, stage
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-UPPER = {c: c + 32 for c in range(65, 91)}
 WIDTH = 5
 PERCENT = 75
 FREQUENT = 256
 PAIRED = 64
 CLASS_BITS, ENTRY_BITS = 24, 27
-PARITY_BITS = 2048
+PARITY_BITS, LEAST_BITS = 2048, 256
 COUNT_TOKENS = 400_000
 KNOWN_WORDS = 60_000
 KNOWN_SETS = 100_000
-SLICE = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
-SETS = "kind int, doc_id long, n long, key long, grams binary, counts binary"
-ENTRIES = "entry long, key long, n long, pos long, head long, head_n long, head_pos long"
+SETS = "kind int, doc_id long, n long, key long, words long, grams binary, counts binary"
+ENTRIES = "entry long, key long, n long, pos long, head long, head_n long, head_pos long, more boolean"
 POSTINGS = "entry long, pos long, n long, key long"
 
 
@@ -74,16 +70,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class _WordHashes(dict):
     """Hashes of words met before; emptied when it holds too many."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-def _split(text: str | None) -> list[str]:
-    text = text or ""
-    return WORD.findall(text.lower() if text.isascii() else text.translate(UPPER))
+def _split(text: bytes | None) -> list[bytes]:
+    """Words of UTF-8; of bytes, ``lower`` takes A-Z and ``split`` parts at space and 09 to 0D, no others."""
+    return (text or b"").lower().split()
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) > 1 else values
 
 
 def _windows(ids: np.ndarray, width: int) -> np.ndarray:
@@ -94,8 +96,8 @@ def _windows(ids: np.ndarray, width: int) -> np.ndarray:
     return mixed(value)
 
 
-def shingles_of(texts: list, hashes: dict, width: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the shingles of each text."""
+def shingles_of(texts: list[bytes | None], hashes: dict, width: int) -> tuple[list[np.ndarray], list[int]]:
+    """Sorted distinct 64-bit hashes of the shingles of each text, and the number of its words."""
     words = [_split(t) for t in texts]
     sizes = [len(w) for w in words]
     ids = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, sum(sizes))
@@ -103,19 +105,21 @@ def shingles_of(texts: list, hashes: dict, width: int) -> list[np.ndarray]:
     out, at = [], 0
     for n in sizes:
         if n >= width:
-            out.append(np.unique(windows[at : at + n - width + 1]))
+            out.append(_distinct(windows[at : at + n - width + 1]))
         else:
             out.append(_windows(ids[at : at + n], n) if n else ids[:0])
         at += n
-    return out
+    return out, sizes
 
 
 def shingles(text: str | None, hashes: dict, width: int) -> np.ndarray:
-    return shingles_of([text], hashes, width)[0]
+    return shingles_of([(text or "").encode("utf-8", "surrogatepass")], hashes, width)[0][0]
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of kind 0: documents with size, key and (once per task) their set; kind 1: local counts."""
+def shingle_sets(docs: DataFrame, width: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of kind 0: documents with size, key, words, columns to ``keep`` and (once per task) their set; kind 1: local counts."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in keep])
+    spec = ", ".join([SETS, *(f"{c} string" for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, held, n_held = _WordHashes(), set(), [], 0
@@ -124,11 +128,12 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             values, times = np.unique(np.concatenate(held), return_counts=True)
             often = times > 1
             packed = [pa.array([x.tobytes()], pa.binary()) for x in (values[often], times[often].astype(np.int32))]
-            return _batch([pa.array([1], pa.int32()), *[pa.nulls(1, pa.int64())] * 3, *packed], SETS)
+            return _batch([pa.array([1], pa.int32()), *[pa.nulls(1, pa.int64())] * 4, *packed, *[pa.nulls(1, pa.string())] * len(keep)], spec)
 
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        for batch in slices(batches):
             sizes, keys, grams = [], [], []
-            for found in shingles_of(batch.column(1).to_pylist(), hashes, width):
+            sets_here, words = shingles_of(batch.column(1).cast(pa.binary()).to_pylist(), hashes, width)
+            for found in sets_here:
                 key = xxhash.xxh3_64_intdigest(raw := found.tobytes()) - (1 << 63) if len(found) else None
                 fresh = key is not None and key not in seen
                 if fresh:
@@ -141,17 +146,15 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 keys.append(key)
                 grams.append(raw if fresh else None)
             n = batch.num_rows
-            yield _batch(
-                [pa.array(np.zeros(n, np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(grams, pa.binary()), pa.nulls(n, pa.binary())], SETS
-            )
+            numbers = [pa.array(c, pa.int64()) for c in (sizes, keys, words)]
+            yield _batch([pa.array(np.zeros(n, np.int32)), batch.column(0), *numbers, pa.array(grams, pa.binary()), pa.nulls(n, pa.binary()), *batch.columns[2:]], spec)
             if n_held >= COUNT_TOKENS:
                 yield counted()
                 held, n_held = [], 0
         if held:
             yield counted()
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, SETS)
+    return narrow.mapInArrow(run, spec)
 
 
 def class_bits(sets: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -301,6 +304,7 @@ def shared_entries(rows: DataFrame) -> DataFrame:
     """Postings of entries with two sets or more, each with the entry's head.
 
     Rows arrive sorted by entry; only the head of the current entry is kept.
+    ``more`` is false where an entry surely has one set besides its head.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +332,9 @@ def shared_entries(rows: DataFrame) -> DataFrame:
             keep = np.flatnonzero(send)
             if len(keep):
                 at = start[keep]
-                yield _batch([pa.array(x) for x in (entry[keep], key[keep], n[keep], pos[keep], key[at], n[at], pos[at])], ENTRIES)
+                # An entry that goes on in another batch may have more sets than are seen here.
+                more = (np.bincount(start[other & ~repeated], minlength=len(entry))[at] > 1) | (at == last) | (carried & (at == 0))
+                yield _batch([pa.array(x) for x in (entry[keep], key[keep], n[keep], pos[keep], key[at], n[at], pos[at], more)], ENTRIES)
 
     return rows.repartition("entry").sortWithinPartitions("entry", "pos", "n", "key").mapInArrow(run, ENTRIES)
 
@@ -346,10 +352,24 @@ def _needed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _listed(sets).join(broadcast_checked(keys), "key", "left_semi").groupBy("key").agg(F.any_value("grams").alias("grams"))
 
 
-def parity(grams: np.ndarray) -> np.ndarray:
-    """Bits that are set where an odd number of hashes falls."""
-    slot = (grams >> np.uint64(20)) & np.uint64(PARITY_BITS - 1)
-    return np.packbits((np.bincount(slot.astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8))
+def parity(grams: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
+    """Bits that are set where an odd number of hashes falls; ``bits`` is a power of two."""
+    slot = (grams >> np.uint64(20)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(slot.astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def parity_bits(n: int) -> int:
+    """Two to four bits per element: a table of fixed size says nothing of large sets."""
+    return max(LEAST_BITS, 1 << (2 * n - 1).bit_length())
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing parity bits per row; the wider table is folded to the width of the other."""
+    x, y = (x, y) if x.shape[1] <= y.shape[1] else (y, x)
+    while y.shape[1] > x.shape[1]:
+        half = y.shape[1] // 2
+        y = y[:, :half] ^ y[:, half:]
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
 def not_excluded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -357,13 +377,13 @@ def not_excluded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Two sets differ in at least as many elements as their parity bits differ,
     so half of what remains of both sizes bounds the common ones. A pair travels
-    with some hundred bytes here instead of two sets.
+    with a thirtieth of its sets here.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets_here = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in batch.column(1)]
-            yield _batch([batch.column(0), pa.array(map(len, sets_here), pa.int64()), pa.array([parity(g).tobytes() for g in sets_here], pa.binary())], "key long, n long, bits binary")
+            yield _batch([batch.column(0), pa.array(map(len, sets_here), pa.int64()), pa.array([parity(g, parity_bits(len(g))).tobytes() for g in sets_here], pa.binary())], "key long, n long, bits binary")
 
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     bits = _listed(sets).join(broadcast_checked(keys), "key", "left_semi").mapInArrow(sketch, "key long, n long, bits binary").dropDuplicates(["key"])
@@ -372,9 +392,14 @@ def not_excluded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARITY_BITS // 8) for c in (3, 5))
+            x, y = (batch.column(c).to_pylist() for c in (3, 5))
             both = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            common = (both - np.unpackbits(x ^ y, axis=1).sum(axis=1, dtype=np.int64)) // 2
+            apart = np.zeros(len(x), np.int64)
+            widths = np.array([(len(p), len(q)) for p, q in zip(x, y)], np.int64).reshape(-1, 2)
+            for pair in np.unique(widths, axis=0):
+                rows = np.flatnonzero((widths == pair).all(axis=1))
+                apart[rows] = differing(*(np.frombuffer(b"".join(side[r] for r in rows), np.uint8).reshape(len(rows), -1) for side in (x, y)))
+            common = (both - apart) // 2
             mask = pa.array(100 * common >= percent * (both - common))
             yield _batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], "a long, b long")
 
@@ -438,7 +463,8 @@ def similar_sets(sets: DataFrame, percent: int = PERCENT, frequent: int = FREQUE
     heads = index.where((F.col("key") != F.col("head")) & _may_link(F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_pos"), percent))
     first = stage(verified(heads.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), sets, percent), "firstlinks")
     known = broadcast_checked(components(first).select(F.col("node").alias("key"), "comp"))
-    named = index.select("entry", "key", "n", "pos").join(known, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    # Pairs with a head are settled, and with them all pairs of entries of two sets.
+    named = index.where("more and key <> head").select("entry", "key", "n", "pos").join(known, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     apart = named.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("entry")
     rest = stage(named.join(apart, "entry", "left_semi"), "restentries")
     a, b = rest.alias("a"), rest.alias("b")
@@ -464,19 +490,12 @@ def near_copy_components(docs: DataFrame, width: int = WIDTH, percent: int = PER
     return rows.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def with_clusters(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """``docs`` with ``cluster``, equal within a group of near copies, per row; null where a text has no words."""
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            keys = [xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None for found in shingles_of(batch.column(at).to_pylist(), hashes, width)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "key"])
-
-    keyed = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("key", T.LongType())]))
-    groups = stage(components(similar_sets(stage(shingle_sets(docs, width), "sets"), percent, frequent)), "groups").withColumnRenamed("node", "key")
-    return keyed.join(broadcast_checked(groups), "key", "left").select(*docs.columns, F.coalesce("comp", "key").alias("cluster"))
+def sized_clusters(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+    """Per row ``doc_id, source, cluster, size``: a number equal within a group of near copies (null without words), and its words."""
+    sets = stage(shingle_sets(docs, width, keep=("source",)), "sets")
+    groups = stage(components(similar_sets(sets, percent, frequent)), "groups").withColumnRenamed("node", "key")
+    rows = sets.where("kind = 0").select("doc_id", "source", "key", F.col("words").alias("size"))
+    return rows.join(broadcast_checked(groups), "key", "left").select("doc_id", "source", F.coalesce("comp", "key").alias("cluster"), "size")
 
 
 def drop_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -12,7 +12,7 @@ white space.
 
 Null and empty texts have no words: they are returned with null bin. A null
 source conflicts with nothing. Without a ``cluster`` equal texts form one; op9
-passes groups of near copies (``jaccard.with_clusters``). Repeated rows are
+packs groups of near copies (``jaccard.sized_clusters``). Repeated rows are
 packed each. Empty tables give no rows. Extra columns are ignored.
 """
 
@@ -23,7 +23,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.session import stage
@@ -96,22 +96,31 @@ def pack_group(rows: list[tuple], capacity: int) -> list[tuple]:
     return out
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None, group_rows: int = GROUP_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, n_words, part, bin, bin_offset``.
-
-    ``(part, bin)`` names a bin. ``cluster`` is a column of ``docs`` that equals
-    within groups of duplicates; by default a hash of the text.
-    """
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``pack_sized`` of texts, with a hash of the text as cluster."""
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        (F.xxhash64(text) if cluster is None else cluster.cast("long")).alias("cluster"),
+        F.xxhash64(text).alias("cluster"),
         F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("size"),
     )
-    if cluster is not None:
-        sized = stage(sized, "sized")  # clusters are costly and read twice
-    tasks = max(1, math.ceil((docs if cluster is None else sized).count() / task_rows))
+    return pack_sized(sized, docs.count(), capacity, group_rows, task_rows)
+
+
+def pack_clusters(clustered: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``pack_sized`` of rows whose clusters are costly: written before they are counted and packed."""
+    sized = stage(clustered.select("doc_id", "source", "cluster", "size"), "sized")
+    return pack_sized(sized, sized.count(), capacity, group_rows, task_rows)
+
+
+def pack_sized(sized: DataFrame, n_rows: int, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+    """One row per piece: ``doc_id, piece, start, n_words, part, bin, bin_offset``.
+
+    ``(part, bin)`` names a bin. Takes ``doc_id, source, cluster, size``, where
+    ``cluster`` equals within groups of duplicates.
+    """
+    tasks = max(1, math.ceil(n_rows / task_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusmill.llm import blocks, impact, infill, jaccard, outliers, packing, prefixtrie, secretscan, sharding, tiling, toxicity, urlrank, warc
 from corpusmill.session import read_table
@@ -136,7 +135,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_conflict_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return packing.pack_documents(jaccard.with_clusters(docs), cluster=F.col("cluster"))
+    return packing.pack_clusters(jaccard.sized_clusters(docs))
 
 
 @query("op10_linked_secrets")

@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpusmill.llm.batches import slices
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
@@ -130,7 +132,7 @@ def scan_documents(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """Counts, digest and spans per document; the work is one map over the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = list(zip(*(scan_text(t, reach) for t in batch.column(1).to_pylist()))) or [()] * 7
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.string()]
             arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))]
@@ -157,7 +159,7 @@ def mask_documents(docs: DataFrame, reach: int | None = None) -> DataFrame:
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             before = batch.column(at).to_pylist()
             texts = [redact(t, scan_text(t, reach)[4]) for t in before]
             columns = list(batch.columns)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.batches import slices
+
 WORD = re.compile(r"\w+")
 MIN_TILE = 5
 COVERAGE = 0.5
@@ -147,7 +149,7 @@ def tile_matches(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             table = SeedTable(items, min_tile)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-            for batch in batches:
+            for batch in slices(batches):
                 ids = batch.column(0).to_pylist()
                 rows = [(ids[t], table.names[i], n, c, len(table.tokens[i]), share) for t, i, n, c, share in table.matches(batch.column(1).to_pylist(), coverage)]
                 if rows:
@@ -165,7 +167,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             table = SeedTable(items, min_tile)
-            for batch in batches:
+            for batch in slices(batches):
                 dirty = {t for t, *_ in table.matches(batch.column(at).to_pylist(), coverage)}
                 yield batch.filter(pa.array([i not in dirty for i in range(batch.num_rows)], pa.bool_()))
 

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.batches import slices
 from corpusmill.llm.jaccard import _WordHashes, mixed, shingles
 from corpusmill.session import stage
 
@@ -99,7 +100,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     c = char_codes(f"\n\n{text}\n")
@@ -228,7 +229,7 @@ def _counts(texts: DataFrame, only: set | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, total = _WordFeatures(), Counter()
         told = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["feature", "n"])
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 found = text_features(text, cache)
                 total.update(found if only is None else found & only)
@@ -246,7 +247,7 @@ def thinned(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             columns = []
             for text in batch.column(1).to_pylist():
                 found = shingles((text or "").lower(), hashes, 3)
@@ -403,7 +404,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = TextScorer(*known.value)
-        for batch in batches:
+        for batch in slices(batches):
             scores = np.array([scorer.score(t) for t in batch.column(1).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
@@ -419,7 +420,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = TextScorer(*known.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([scorer.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

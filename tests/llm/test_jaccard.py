@@ -144,3 +144,46 @@ def test_components_cut_short_fail(spark):
     with pytest.raises(RuntimeError):
         jaccard.components(chain, limit=1)
     assert {r["comp"] for r in jaccard.components(chain).collect()} == {0}
+
+
+def test_parity_bits_tell_large_sets_apart():
+    rng = np.random.default_rng(9)
+    for n in (40, 700, 6000, 20000):
+        x, y = (np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64)) for size in (n, int(n * 0.8)))
+        for k in (0, n // 3, n // 2):
+            z = np.unique(np.concatenate([y, x[:k]]))
+            tables = [np.frombuffer(J.parity(g, J.parity_bits(len(g))).tobytes(), np.uint8)[None, :] for g in (x, z)]
+            both, common = len(x) + len(z), len(np.intersect1d(x, z))
+            bound = (both - int(J.differing(*tables)[0])) // 2
+            assert common <= bound
+            assert k == n // 2 or 100 * bound < 75 * (both - bound)  # ruled out without its sets
+    assert J.differing(tables[1], tables[0])[0] == J.differing(*tables)[0]
+
+
+def test_entries_of_two_sets_are_settled_by_their_heads(spark):
+    rows = [(1, 0, 9, 7), (1, 0, 9, 8), (2, 0, 9, 7), (2, 1, 9, 8), (2, 2, 9, 9), (3, 0, 9, 5), (3, 0, 9, 5), (4, 0, 9, 6), (5, 1, 9, 1), (5, 1, 9, 2)]
+    postings = spark.createDataFrame(rows, J.POSTINGS).coalesce(1)
+    found = {(r["entry"], r["key"]): r["more"] for r in J.shared_entries(postings).collect()}
+    assert set(found) == {(1, 7), (1, 8), (2, 7), (2, 8), (2, 9), (5, 1), (5, 2)}
+    assert all(found[2, k] for k in (7, 8, 9)) and not all(found[e, k] for e, k in ((1, 7), (1, 8), (5, 1), (5, 2)))
+
+
+def test_words_of_bytes_are_those_of_the_contract():
+    text = "\x1cA\x85b\u00a0C\td\x0be\x0cF\r\n G\x1fh É\u2003İ \x00 z"
+    assert [w.decode() for w in J._split(text.encode())] == re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    assert J._split(None) == []
+
+
+def test_clusters_come_with_words_from_one_pass(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(J, "shingle_sets", lambda *a, f=J.shingle_sets, **b: passes.append(1) or f(*a, **b))
+    rows = corpus(seed=4)
+    got = J.sized_clusters(frame(spark, rows).repartition(3)).collect()
+    assert sorted((r["doc_id"], r["size"]) for r in got) == sorted((i, len((t or "").encode().split())) for i, t in rows)
+    groups = {}
+    for r in got:
+        groups.setdefault(r["cluster"], set()).add(r["doc_id"])
+    want = {}
+    for i, n, c in brute(rows):
+        want.setdefault(c if n else None, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())) and passes == [1]

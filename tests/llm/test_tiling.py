@@ -71,3 +71,15 @@ def test_empty_tables(spark):
     assert matches(spark, [(1, "a b c d e")], [])[2].count() == 0
     d, b, _ = matches(spark, [(1, "a b c d e")], [])
     assert T.drop_contaminated(d, b).count() == 1
+
+
+def test_tasks_hold_bounded_pieces_of_a_batch():
+    import pyarrow as pa
+
+    from corpusmill.llm.batches import ROWS, slices
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (0, 1, ROWS, 3 * ROWS + 1)]
+    got = list(slices(iter(batches)))
+    assert max(b.num_rows for b in got) == ROWS
+    assert [x for b in got for x in b.column(0).to_pylist()] == [x for b in batches for x in b.column(0).to_pylist()]
+    assert list(slices(iter([]))) == []
