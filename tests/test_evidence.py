@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from corpusmill.config import Settings
@@ -220,3 +222,14 @@ def test_retry_rule_and_reflections(spark):
     assert [(r["relevant"], r["supported"]) for r in got] == [(True, True), (False, False), (False, False)]
     again = ask.should_retry(1, 2, F.lit(1), F.lit(True), F.lit(False), F.lit(2), F.lit(False))
     assert df.select(again).first()[0] is True
+
+
+def test_fine_evidence_moves_contexts_once(spark):
+    """Texts lie by question from the start; no second exchange deals them by question and rank."""
+    rows = [(q, r, f"Alpha {q} beta gamma. Delta {r} epsilon zeta eta.") for q in range(3) for r in (1, 2)]
+    contexts = spark.createDataFrame(rows, "query_id long, rank int, content string")
+    asked = spark.createDataFrame([(q, "alpha beta epsilon") for q in range(3)], "query_id long, question string")
+    out = E.fine_islands(E.select_fine_units(E.fine_scores(E.fine_units(contexts), asked)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, rank", plan)
+    assert {r["query_id"] for r in out.collect()} == {0, 1, 2}
