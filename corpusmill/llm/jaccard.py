@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.batches import slices
-from corpusmill.session import broadcast_checked, stage
+from corpusmill.session import WIDE_GROUP_BYTES, broadcast_checked, stage, wide_rows
 
 WIDTH = 5
 PERCENT = 75
@@ -240,7 +240,7 @@ def repeated_entries(sets: DataFrame, bits, percent: int) -> np.ndarray:
                 rows.append((int(bucket[a]), values[a:b].tobytes(), twice.tobytes()))
             return _batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], "bucket long, once binary, twice binary")
 
-        for batch in batches:
+        for batch in slices(batches):
             for raw in batch.column(1):
                 grams = np.frombuffer(raw.as_buffer(), np.uint64)
                 held.append(index_entries(grams, classes(grams, bits.value), percent)[0])
@@ -381,7 +381,7 @@ def not_excluded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets_here = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in batch.column(1)]
             yield _batch([batch.column(0), pa.array(map(len, sets_here), pa.int64()), pa.array([parity(g, parity_bits(len(g))).tobytes() for g in sets_here], pa.binary())], "key long, n long, bits binary")
 
@@ -413,7 +413,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = left.join(needed.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(needed.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for raw_x, raw_y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(raw_x.as_buffer(), np.uint64), np.frombuffer(raw_y.as_buffer(), np.uint64)
@@ -480,8 +480,9 @@ def similar_sets(sets: DataFrame, percent: int = PERCENT, frequent: int = FREQUE
 
 def near_copy_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id`` (smallest doc_id linked, directly or not)."""
-    sets = stage(shingle_sets(docs, width), "sets")
-    groups = components(similar_sets(sets, percent, frequent)).withColumnRenamed("node", "key")
+    with wide_rows(docs.sparkSession):
+        sets = stage(shingle_sets(docs, width), "sets", WIDE_GROUP_BYTES)
+        groups = components(similar_sets(sets, percent, frequent)).withColumnRenamed("node", "key")
     rows = sets.where("kind = 0").select("doc_id", "n", "key")
     keys = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = keys.join(groups, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
@@ -492,8 +493,9 @@ def near_copy_components(docs: DataFrame, width: int = WIDTH, percent: int = PER
 
 def sized_clusters(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """Per row ``doc_id, source, cluster, size``: a number equal within a group of near copies (null without words), and its words."""
-    sets = stage(shingle_sets(docs, width, keep=("source",)), "sets")
-    groups = stage(components(similar_sets(sets, percent, frequent)), "groups").withColumnRenamed("node", "key")
+    with wide_rows(docs.sparkSession):
+        sets = stage(shingle_sets(docs, width, keep=("source",)), "sets", WIDE_GROUP_BYTES)
+        groups = stage(components(similar_sets(sets, percent, frequent)), "groups").withColumnRenamed("node", "key")
     rows = sets.where("kind = 0").select("doc_id", "source", "key", F.col("words").alias("size"))
     return rows.join(broadcast_checked(groups), "key", "left").select("doc_id", "source", F.coalesce("comp", "key").alias("cluster"), "size")
 

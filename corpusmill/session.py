@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,12 @@ from pyspark.sql import types as T
 # one takes the shuffle path of the same operator.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
+# What a task holds of wide rows at once: bytes of an Arrow batch and of a Parquet
+# row group, rows of a Parquet read.
+WIDE_BATCH_BYTES = 2 * 1024 * 1024
+WIDE_GROUP_BYTES = 8 * 1024 * 1024
+WIDE_READ_ROWS = 512
+
 
 def get_spark(app_name: str = "corpusmill", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """Session with the settings the operators rely on (UTC clock, AQE, Arrow)."""
@@ -104,14 +112,33 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, salt_by: str, salts:
     return left.join(right, [on, "_salt"]).drop("_salt")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def wide_rows(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside move rows of several kB in batches bounded by bytes.
+
+    By default 10,000 rows make an Arrow batch and 4096 a Parquet read, however
+    wide they are. All rows pass; only the pieces are smaller.
+    """
+    bounds = {"spark.sql.execution.arrow.maxBytesPerBatch": WIDE_BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": WIDE_READ_ROWS}
+    before = {k: spark.conf.get(k) for k in bounds}
+    try:
+        for k, v in bounds.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def stage(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     Used where one costly result feeds several consumers: it is computed once,
     lineage is cut, and a lost executor re-reads files instead of recomputing.
+    ``group_bytes`` bounds the row groups, which a task holds whole.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/corpusmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -187,3 +187,39 @@ def test_clusters_come_with_words_from_one_pass(spark, monkeypatch):
     for i, n, c in brute(rows):
         want.setdefault(c if n else None, set()).add(i)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())) and passes == [1]
+
+
+def test_wide_rows_travel_in_bounded_pieces(spark, monkeypatch):
+    import glob
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from corpusmill import session
+
+    rng = random.Random(11)
+    rows = [(n, " ".join(str(rng.getrandbits(40)) for _ in range(3000))) for n in range(900)]
+    docs = frame(spark, rows).coalesce(1)
+    keys = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before, seen, write = [spark.conf.get(k) for k in keys], [], J.stage
+
+    def watched(df, name, *more):
+        seen.append((name, tuple(spark.conf.get(k) for k in keys)))
+        out = write(df, name, *more)
+        if name == "sets":
+            files = [f for p in out.inputFiles() for f in glob.glob(p.removeprefix("file://"))]
+            groups = [m.row_group(k).total_byte_size for m in map(pq.read_metadata, files) for k in range(m.num_row_groups)]
+            assert sum(groups) > 20_000_000 and max(groups) < 16_000_000
+
+            def sizes(batches):
+                for b in batches:
+                    yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([sum(map(len, b.column(0).to_pylist()))])], ["n", "size"])
+
+            told = out.where("kind = 0").select("grams").mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r["n"] for r in told) == len(rows) and max(r["size"] for r in told) < 4_000_000
+        return out
+
+    monkeypatch.setattr(J, "stage", watched)
+    assert {(r["doc_id"], r["component_id"]) for r in J.near_copy_components(docs).collect()} == {(n, n) for n in range(900)}
+    assert {values for _, values in seen} == {(str(session.WIDE_BATCH_BYTES), str(session.WIDE_READ_ROWS))}
+    assert [spark.conf.get(k) for k in keys] == before
