@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -183,9 +184,24 @@ def classes(grams: np.ndarray, bits: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return sum((((table[word] >> at) & np.uint32(1)).astype(np.int8) for table in bits), np.zeros(len(grams), np.int8))
 
 
+def classified(column: pa.Array, bits: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each set of a batch with the classes of its shingles, which are looked up for all sets at once."""
+    sets_here = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in column]
+    kinds = classes(np.concatenate([*sets_here, np.zeros(0, np.uint64)]), bits)
+    at = 0
+    for grams in sets_here:
+        yield grams, kinds[at : at + len(grams)]
+        at += len(grams)
+
+
 # ---- the index --------------------------------------------------------------------
 
 
+@lru_cache(maxsize=256)
+def _pairs_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def index_entries(grams: np.ndarray, kinds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index entries of one set and the position of each one's first shingle in the set's order.
 
@@ -202,7 +218,7 @@ def index_entries(grams: np.ndarray, kinds: np.ndarray, percent: int) -> tuple[n
     entries, places = [prefix[alone]], [alone]
     often = np.flatnonzero(kind == 2)
     if paired and len(often) > 1 and often[0] <= may_miss:
-        a, b = np.triu_indices(len(often), 1)
+        a, b = _pairs_of(len(often))
         keep = often[a] <= may_miss
         a, b = often[a[keep]], often[b[keep]]
         entries.append(mixed(prefix[a] * MIX + prefix[b]))
@@ -241,9 +257,8 @@ def repeated_entries(sets: DataFrame, bits, percent: int) -> np.ndarray:
             return _batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], "bucket long, once binary, twice binary")
 
         for batch in slices(batches):
-            for raw in batch.column(1):
-                grams = np.frombuffer(raw.as_buffer(), np.uint64)
-                held.append(index_entries(grams, classes(grams, bits.value), percent)[0])
+            for grams, kinds in classified(batch.column(1), bits.value):
+                held.append(index_entries(grams, kinds, percent)[0])
                 size += len(held[-1])
                 if size > COUNT_TOKENS:
                     yield told()
@@ -282,11 +297,10 @@ def postings(sets: DataFrame, bits, repeated: np.ndarray, percent: int) -> DataF
     known = sets.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts, size = [], 0
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                grams = np.frombuffer(raw.as_buffer(), np.uint64)
-                entry, pos = index_entries(grams, classes(grams, bits.value), percent)
+            for key, (grams, kinds) in zip(batch.column(0).to_pylist(), classified(batch.column(1), bits.value)):
+                entry, pos = index_entries(grams, kinds, percent)
                 slot = entry & np.uint64((1 << ENTRY_BITS) - 1)
                 met = np.flatnonzero((known.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
                 parts.append((entry[met].view(np.int64), pos[met], np.full(len(met), len(grams)), np.full(len(met), key)))

@@ -223,3 +223,17 @@ def test_wide_rows_travel_in_bounded_pieces(spark, monkeypatch):
     assert {(r["doc_id"], r["component_id"]) for r in J.near_copy_components(docs).collect()} == {(n, n) for n in range(900)}
     assert {values for _, values in seen} == {(str(session.WIDE_BATCH_BYTES), str(session.WIDE_READ_ROWS))}
     assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_classes_of_a_batch_equal_those_of_each_set():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    bits = tuple(rng.integers(0, 1 << 32, 1 << (J.CLASS_BITS - 5), dtype=np.uint64).astype(np.uint32) for _ in range(2))
+    grams = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (1, 300, 0, 7)]
+    column = pa.array([g.tobytes() for g in grams], pa.binary())
+    for part, expected in ((column, grams), (column.slice(1, 2), grams[1:3]), (column.slice(0, 0), [])):
+        found = list(J.classified(part, bits))
+        assert len(found) == len(expected)
+        for (g, kinds), e in zip(found, expected):
+            assert (g == e).all() and (kinds == J.classes(e, bits)).all()
