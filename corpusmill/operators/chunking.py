@@ -2,25 +2,31 @@
 
 Splitting happens inside the row with array expressions; only the two rules
 whose next window depends on the previous one (greedy token packing and
-boundary windows) use a small Arrow helper that computes offsets.
+boundary windows) use an Arrow helper.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from corpusmill.functions.text import char_windows, clean_spaces, estimate_tokens, let, normalize_extracted, sentence_units, strip, text_of, token_list
+from corpusmill.functions.arrowtext import bounded
+from corpusmill.functions.text import char_windows, clean_spaces, let, normalize_extracted, strip, text_of
 from corpusmill.session import stage
 
 WINDOWS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
+PIECES = T.StructType([T.StructField("content", T.ArrayType(T.StringType())), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 STRATEGIES = ("boundary", "hard", "dynamic")
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -45,29 +51,133 @@ def split_hard(text: Column, size: int) -> Column:
     return F.filter(F.transform(char_windows(strip(text_of(text)), size), strip), lambda piece: piece != "")
 
 
-@F.pandas_udf(WINDOWS)
-def _pack(counts: pd.Series, budgets: pd.Series, overlaps: pd.Series) -> pd.Series:
-    """Windows ``[first, last)`` over sentences, each as long as its token budget allows.
+def _windows(sizes: Iterable[int], budget: int, overlap: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Windows ``[first, last)`` over sentences, each as long as its token budget allows, and the running sum.
 
     Ends and overlaps are looked up in the running sum of the counts.
     """
+    upto = [0, *accumulate(sizes)]
+    n = len(upto) - 1
+    out, first = [], 0
+    while first < n:
+        full = bisect_left(upto, upto[first] + budget)
+        exact = full <= n and upto[full] == upto[first] + budget
+        last = min(n, max(first + 1, full if exact else full - 1))
+        out.append((first, last))
+        if last == n:
+            break
+        shared = bisect_left(upto, upto[last] - overlap) if overlap > 0 else last
+        first = last if shared == last else max(first + 1, min(shared, last - 1))
+    return out, upto
+
 
-    def windows(sizes, budget, overlap):
-        n = len(sizes)
-        upto = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
-        out, first = [], 0
-        while first < n:
-            full = int(np.searchsorted(upto, upto[first] + budget, "left"))
-            exact = full <= n and upto[full] == upto[first] + budget
-            last = min(n, max(first + 1, full if exact else full - 1))
-            out.append({"first": first, "last": last})
-            if last == n:
-                break
-            shared = int(np.searchsorted(upto, upto[last] - overlap, "left")) if overlap > 0 else last
-            first = last if shared == last else max(first + 1, min(shared, last - 1))
-        return out
+@F.pandas_udf(WINDOWS)
+def _pack(counts: pd.Series, budgets: pd.Series, overlaps: pd.Series) -> pd.Series:
+    """``_windows`` of token counts."""
+    named = lambda spans: [{"first": a, "last": b} for a, b in spans]
+    return pd.Series([named(_windows(map(int, c), int(b), int(o))[0]) for c, b, o in zip(counts, budgets, overlaps)])
+
+
+# The patterns of functions/text.py for Python's re. White space is spelled out: \s of
+# Java has other members.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE_ENDS = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
+BLANK_LINE = re.compile(rf"\n[{WHITE}]*\n+")
+SENTENCE_END = re.compile(rf"[。！？!?；;.](?:(?<!\.)|(?=[{WHITE}]+[A-Z0-9\u3400-\u9fff]))")
+NOT_BLANK = re.compile(f"[{WHITE.replace(' ', '')}]")
+SPACES = re.compile(f"[{WHITE}]+")
+SEPARATORS = re.compile("[\x1c-\x1f]")
+TOKEN = re.compile(rf"[\u3400-\u9fff]|[A-Za-z]+(?:['’][A-Za-z]+)?|\d+(?:[.,:/-]\d+)*|[^{WHITE}]")
+BLANK, LETTER, DIGIT, OTHER, APOSTROPHE, JOINER = range(6)
+
+
+def _sentences(text: str) -> list[str]:
+    """As ``sentence_units``."""
+    text, out = text.strip(WHITE_ENDS), []
+    for paragraph in BLANK_LINE.split(text) if "\n" in text else [text]:
+        line = paragraph.replace("\n", " ")
+        if "  " in line or NOT_BLANK.search(line):
+            # ``split`` also parts at the separators, which are no white space of Java.
+            line = SPACES.sub(" ", line) if SEPARATORS.search(line) else " ".join(line.split())
+        at = 0
+        for end in [*(m.end() for m in SENTENCE_END.finditer(line)), len(line)]:
+            if sentence := line[at:end].strip(" "):
+                out.append(sentence)
+            at = end
+    return out
+
+
+@cache
+def _token_classes() -> np.ndarray:
+    """What a character can be in ``TOKEN``, by its code point."""
+    classes = np.full(0x110000, OTHER, np.uint8)
+    classes[[ord(c) for c in "'’"]] = APOSTROPHE
+    classes[[ord(c) for c in ".,:/-"]] = JOINER
+    classes[[i for i in range(0x110000) if chr(i).isdecimal()]] = DIGIT
+    classes[[*range(65, 91), *range(97, 123)]] = LETTER
+    classes[[ord(c) for c in WHITE_ENDS]] = BLANK
+    return classes
+
+
+def _token_counts(sentences: list[str]) -> list[int]:
+    """How many matches ``TOKEN`` has in each sentence, for all of them at once."""
+    if not sentences:
+        return []
+    points = np.frombuffer(" ".join([*sentences, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _token_classes()[points]
+    edges = np.cumsum([0, *(len(s) + 1 for s in sentences)])
+    before, after = np.concatenate([[BLANK], kind[:-1]]), np.concatenate([kind[1:], [BLANK]])
+    starts = (kind >= OTHER) | (((kind == LETTER) | (kind == DIGIT)) & (kind != before))
+    # A mark between digits belongs to their number, with the digits after it.
+    within = (kind == JOINER) & (before == DIGIT) & (after == DIGIT)
+    marks = np.flatnonzero((kind == APOSTROPHE) & (before == LETTER) & (after == LETTER))
+    if len(marks):
+        # A word takes one apostrophe with the letters after it; in a row of them, every other one.
+        others = np.cumsum(kind != LETTER)[marks]
+        fresh = np.concatenate([[True], np.diff(others) != 1])
+        order = np.arange(len(marks))
+        within[marks[(order - np.maximum.accumulate(np.where(fresh, order, 0))) % 2 == 0]] = True
+    upto = np.concatenate([[0], np.cumsum(starts - 2 * within.view(np.int8), dtype=np.int64)])
+    return np.diff(upto[edges]).tolist()
+
+
+def _fitting(texts: list[str], budget: int) -> Iterator[tuple[list[str], list[int]]]:
+    """Sentences of every text and their token counts.
 
-    return pd.Series([windows(c, b, o) for c, b, o in zip(counts, budgets, overlaps)])
+    One above the budget becomes token groups joined without blanks; joining can
+    merge tokens, so only those pieces are counted again.
+    """
+    found = [_sentences(text) for text in texts]
+    counted = iter(_token_counts([s for sentences in found for s in sentences]))
+    for sentences in found:
+        counts = list(islice(counted, len(sentences)))
+        if max(counts, default=0) > budget:
+            fit = []
+            for sentence, n in zip(sentences, counts):
+                tokens = TOKEN.findall(sentence) if n > budget else []
+                pieces = ["".join(tokens[i : i + budget]) for i in range(0, n, budget)] if tokens else [sentence]
+                fit += [(piece, len(TOKEN.findall(piece)) if tokens else n) for piece in pieces]
+            sentences, counts = [s for s, _ in fit], [n for _, n in fit]
+        yield sentences, counts
+
+
+def _dynamic(text: Column, budget: int, overlap: int) -> Column:
+    """Pieces of whole sentences and their token counts, in one pass over a text."""
+
+    @F.arrow_udf(PIECES)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in bounded(batches):
+            pieces, tokens, edges = [], [], [0]
+            for sentences, counts in _fitting(texts.to_pylist(), budget):
+                spans, upto = _windows(counts, budget, overlap)
+                # Pieces are joined by line breaks, so no token crosses a sentence.
+                pieces += ["\n".join(sentences[a:b]) for a, b in spans]
+                tokens += [upto[b] - upto[a] for a, b in spans]
+                edges.append(len(pieces))
+            lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(*v)) for v in ((pieces, pa.string()), (tokens, pa.int32()))]
+            yield pa.StructArray.from_arrays(lists, names=["content", "tokens"])
+
+    return run(F.make_valid_utf8(text_of(text)))
 
 
 # Where a window may end, by the number of characters of the mark.
@@ -102,32 +212,6 @@ def _boundary(texts: pd.Series, sizes: pd.Series, strides: pd.Series) -> pd.Seri
     return pd.Series([windows(t, int(s), int(d)) for t, s, d in zip(texts, sizes, strides)])
 
 
-def _fit_sentences(text: Column, budget: int) -> Column:
-    """``array<struct<s,n>>`` sentences with their token counts.
-
-    One above the budget becomes token groups joined without blanks; joining can
-    merge tokens, so only those pieces are counted again.
-    """
-
-    def fit(sentence: Column) -> Column:
-        return let(
-            token_list(sentence),
-            lambda toks: F.when(
-                F.size(toks) <= budget, F.array(F.struct(sentence.alias("s"), F.size(toks).alias("n")))
-            ).otherwise(
-                F.transform(
-                    F.transform(
-                        F.sequence(F.lit(0), F.floor((F.size(toks) - 1) / budget).cast("int")),
-                        lambda i: F.array_join(F.slice(toks, i * budget + 1, F.lit(budget)), ""),
-                    ),
-                    lambda piece: F.struct(piece.alias("s"), estimate_tokens(piece).alias("n")),
-                )
-            ),
-        )
-
-    return F.flatten(F.transform(sentence_units(text), fit))
-
-
 def split_text(
     df: DataFrame,
     text: str,
@@ -155,15 +239,11 @@ def split_text(
         )
         return cut.withColumn(out, pieces).drop("_t", "_w")
     overlap = max(0, int(overlap_tokens or 0))
-    cut = df.withColumn("_s", _fit_sentences(F.col(text), size))
-    cut = cut.withColumn("_w", _pack(F.col("_s.n"), F.lit(size), F.lit(overlap)))
-    inside = lambda w: F.slice(F.col("_s"), w["first"] + 1, w["last"] - w["first"])
-    pieces = F.transform("_w", lambda w: F.array_join(F.transform(inside(w), lambda x: x["s"]), "\n"))
-    cut = cut.withColumn(out, pieces)
+    cut = df.withColumn("_p", _dynamic(F.col(text), size, overlap))
+    cut = cut.withColumn(out, F.col("_p.content"))
     if tokens:
-        # Pieces are joined by line breaks, so no token crosses a sentence.
-        cut = cut.withColumn(tokens, F.transform("_w", lambda w: F.aggregate(inside(w), F.lit(0), lambda acc, x: acc + x["n"])))
-    return cut.drop("_s", "_w")
+        cut = cut.withColumn(tokens, F.col("_p.tokens"))
+    return cut.drop("_p")
 
 
 def chunk(df: DataFrame, text: str, size: int, count_tokens: bool = False, **options) -> DataFrame:
@@ -219,7 +299,8 @@ def parents_of(units: DataFrame, parent_tokens: int = 1024, parent_overlap: int
         clean_spaces(
             F.when(text_of("page") == "", F.concat(F.lit("區段 "), F.col("unit_index"))).otherwise(F.col("page"))
         ).alias("page"),
-        clean_spaces(F.col("content")).alias("body"),
+        # One paragraph; the sentences are cleaned when they are split off.
+        F.replace(text_of("content"), F.lit("\n"), F.lit(" ")).alias("body"),
     )
     cut = chunk(base, "body", parent_tokens, count_tokens=True, strategy="dynamic", overlap_tokens=parent_overlap)
     suffix = F.concat(F.col("unit_index"), F.lit("-"), F.col("part"))

@@ -23,8 +23,9 @@ from corpusmill.session import broadcast_checked, fits_broadcast, spread
 
 ROWS_PER_CELL = 100_000
 QUERIES_PER_BLOCK = 20_000
-# Questions multiplied at once: bounds the score block of a task.
+# Questions and corpus rows multiplied at once: bounds the score block of a task.
 QUERIES_AT_ONCE = 256
+ROWS_AT_ONCE = 2048
 
 
 def _id_type(df: DataFrame, name: str) -> str:
@@ -57,6 +58,19 @@ def _best(query_ids, ids, scores, k):
     return np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)
 
 
+def _reaching(query_ids, ids, scores, k, least):
+    """As ``_best``, among the scores that reach ``least``, the k-th best of each query so far."""
+    near = ~(scores < least[:, None] - 2 * 10.0**-RANK_DIGITS)
+    if np.count_nonzero(near) > 4 * k * len(query_ids):  # many ties, or no k rows so far
+        return _best(query_ids, ids, scores, k)
+    row, at = np.nonzero(near)
+    found = scores[row, at]
+    order = np.lexsort((ids[at], -np.round(found, RANK_DIGITS), row))
+    row = row[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return query_ids[row[first]], ids[at[order[first]]], found[order[first]]
+
+
 def _merge_best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     frame = frame.assign(r=frame["score"].round(RANK_DIGITS))
     frame = frame.sort_values(["query_id", "r", "chunk_id"], ascending=[True, False, True])
@@ -96,10 +110,19 @@ def _hit_schema(wanted: DataFrame, corpus: DataFrame) -> str:
     return f"query_id {_id_type(wanted, 'query_id')}, chunk_id {_id_type(corpus, 'chunk_id')}, score double"
 
 
-def _block_best(query_ids, query_matrix, ids, block, k):
+def _least(query_ids, best: pd.DataFrame, k: int) -> np.ndarray:
+    """The k-th best score of each query; what is missing or no number is reached by all."""
+    kth = best["score"].round(RANK_DIGITS).groupby(best["query_id"]).agg(["count", "min"]).reindex(query_ids)
+    return np.where(kth["count"] >= k, kth["min"], -np.inf)
+
+
+def _block_best(query_ids, query_matrix, ids, block, k, least=None):
     """Best ``k`` rows of a block per query, a bounded number of queries at a time."""
     parts = [slice(a, a + QUERIES_AT_ONCE) for a in range(0, len(query_ids), QUERIES_AT_ONCE)]
-    found = [_best(query_ids[p], ids, query_matrix[p] @ block.T, k) for p in parts]
+    if least is None:
+        found = [_best(query_ids[p], ids, query_matrix[p] @ block.T, k) for p in parts]
+    else:
+        found = [_reaching(query_ids[p], ids, query_matrix[p] @ block.T, k, least[p]) for p in parts]
     return pd.DataFrame({name: np.concatenate([f[i] for f in found]) for i, name in enumerate(("query_id", "chunk_id", "score"))})
 
 
@@ -115,15 +138,19 @@ def _broadcast_search(wanted: DataFrame, corpus: DataFrame, k: int) -> DataFrame
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_matrix = shared.value
-        best = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        best = least = None
+        later, waiting = [], 0
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             ids_here = _ids(batch.column(0))
             block = _unit_rows(_matrix(batch.column(1)))
-            frame = _block_best(query_ids, query_matrix, ids_here, block, k)
-            best = frame if best is None else _merge_best(pd.concat([best, frame]), k)
+            frame = _block_best(query_ids, query_matrix, ids_here, block, k, least)
+            later.append(frame)
+            waiting += len(frame)
+            if best is None or waiting >= len(best):
+                best = later[0] if best is None else _merge_best(pd.concat([best, *later]), k)
+                least, later, waiting = _least(query_ids, best, k), [], 0
         if best is not None:
+            best = _merge_best(pd.concat([best, *later]), k) if waiting else best
             yield pa.RecordBatch.from_pandas(best.reset_index(drop=True), preserve_index=False)
 
     return spread(corpus, "chunk_id").mapInArrow(score, schema)

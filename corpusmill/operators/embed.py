@@ -13,9 +13,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.arrowtext import WordNumbers, bounded, utf8, words
+
 EMBEDDING_DIMENSIONS = 64
 _WORD = re.compile(r"[a-z0-9]+|[㐀-鿿]")
 
@@ -26,21 +30,24 @@ Generator = Callable[[Sequence[str]], Sequence[str]]
 
 def hashing_embedder(dimensions: int = EMBEDDING_DIMENSIONS) -> Embedder:
     """Counts of word hashes; whole text, direction only (dense search normalizes)."""
-    buckets: dict[str, int] = {}
-
-    def bucket(word: str) -> int:
-        if word not in buckets:
-            buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % dimensions
-        return buckets[word]
+    known = WordNumbers(lambda word: int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % dimensions)
 
     def embed(texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimensions), dtype=np.float32)
-        for row, text in enumerate(texts):
-            words = _WORD.findall((text or "").lower())
-            if words:
-                out[row] = np.bincount([bucket(w) for w in words], minlength=dimensions)
-        return out
-
+        lowered = [(text or "").lower() for text in texts]
+        body, edges = utf8(pa.array(lowered, pa.large_string()))
+        # Texts with characters of the second part of _WORD are split by it.
+        mixed = np.unique(np.searchsorted(edges, np.flatnonzero((body >= 0xE3) & (body <= 0xE9)), "right") - 1).tolist()
+        found = [_WORD.findall(lowered[row]) for row in mixed]
+        if mixed:
+            for row in mixed:
+                lowered[row] = ""
+            body, edges = utf8(pa.array(lowered, pa.large_string()))
+        many, names = words(body, edges)
+        rows = np.concatenate([np.repeat(np.arange(len(texts)), many), np.repeat(np.array(mixed, dtype=np.int64), [len(f) for f in found])])
+        cells = rows * dimensions + known.of(pa.concat_arrays([names, pa.array([w for f in found for w in f], pa.string())]))
+        return np.bincount(cells, minlength=len(texts) * dimensions).astype(np.float32).reshape(len(texts), dimensions)
+
+    embed.texts_at_once = 1024
     return embed
 
 
@@ -58,15 +65,21 @@ def overlap_scorer() -> PairScorer:
 
 
 def embed(column: Column, factory: Callable[[], Embedder] = hashing_embedder, batch: int = 64) -> Column:
-    """``array<float>`` embedding of a text column; the model loads once per worker."""
+    """``array<float>`` embedding of a text column; the model loads once per worker.
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    It gets ``batch`` texts, or as many as it names itself as ``texts_at_once``.
+    """
+
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = factory()
-        for texts in batches:
-            values = texts.fillna("").tolist()
-            parts = [np.asarray(model(values[i : i + batch]), dtype=np.float32) for i in range(0, len(values), batch)]
-            yield pd.Series([row for part in parts for row in part], index=texts.index, dtype=object)
+        size = getattr(model, "texts_at_once", batch)
+        for texts in bounded(batches):
+            values = pc.fill_null(texts, "").to_pylist()
+            parts = [np.asarray(model(values[i : i + size]), dtype=np.float32) for i in range(0, len(values), size)]
+            rows = [row for part in parts for row in part]
+            edges = np.concatenate([[0], np.cumsum([len(row) for row in rows])])
+            yield pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(rows) if rows else [], pa.float32()))
 
     return run(column)
 

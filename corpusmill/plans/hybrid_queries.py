@@ -11,7 +11,7 @@ from corpusmill.plans.chunk_queries import PIECES_SQL, pieces, units
 from corpusmill.plans.registry import query
 from corpusmill.plans.search_queries import dense_hits, questions
 from corpusmill.plans.stores import files_digest, folder, kept
-from corpusmill.session import read_table
+from corpusmill.session import WIDE_READ_ROWS, read_table, wide_rows
 
 KEYWORD_SQL = f"""{PIECES_SQL},
     kc AS (SELECT doc_id AS chunk_id, regexp_replace(text, '\\s+', '', 'g') AS dense, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_,.]+'), lambda x: lower(x))) AS own FROM pc),
@@ -54,9 +54,10 @@ def corpus(spark, sf_dir):
     """
     name = files_digest(read_table(spark, sf_dir, "documents"))
     order = F.col("source_id").cast("long") * 100_000_000 + F.col("parent_index") * 10_000 + F.col("child_index")
-    parents = kept(lambda: chunking.parents_of(units(spark, sf_dir), 256), spark, folder(spark, "parents", name))
-    made = lambda: retrieve.build_corpus(chunking.children_of(parents, 64).withColumn("chunk_id", order), parents).chunks
-    chunks = kept(made, spark, folder(spark, "chunks", name))
+    with wide_rows(spark, WIDE_READ_ROWS):
+        parents = kept(lambda: chunking.parents_of(units(spark, sf_dir), 256), spark, folder(spark, "parents", name))
+        made = lambda: retrieve.build_corpus(chunking.children_of(parents, 64).withColumn("chunk_id", order), parents).chunks
+        chunks = kept(made, spark, folder(spark, "chunks", name))
     return retrieve.Corpus(chunks, parents, retrieve.build_index(chunks))
 
 

@@ -13,7 +13,7 @@ from corpusmill.functions.text import embedding_text, indexed_text, text_of
 from corpusmill.operators import dense, evidence, expansion, fusion, planning, rerank, sparse
 from corpusmill.operators.embed import Embedder, PairScorer, embed, hashing_embedder, overlap_scorer
 from corpusmill.operators.postings import PostingStore
-from corpusmill.session import broadcast_bounded
+from corpusmill.session import broadcast_bounded, broadcast_checked, stage_few
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,9 @@ def retrieve(
         indexed_text(F.col("parent_title"), F.col("title"), F.col("source_id"), F.col("page"), F.col("content")).alias("full_text"),
     )
     # A pool of candidates per question goes to the texts; the corpus is not shuffled.
-    few = broadcast_bounded(fused.join(answer_text, "query_id").join(routed, "query_id"), questions.count() * max(k, pool), 2000)
+    # Both routes read the pool, which is searched once.
+    few = stage_few(fused.join(answer_text, "query_id").join(routed, "query_id"), "pool")
+    few = broadcast_bounded(few, questions.count() * max(k, pool), 2000)
     candidates = texts.join(few, "chunk_id")
 
     def second_stage(part: DataFrame) -> DataFrame:
@@ -123,7 +125,10 @@ def retrieve(
 
     chosen = rerank.routed_rerank(candidates, k, second_stage, settings.simple_query_top_k)
     chosen = chosen.withColumn("fused_rank", F.col("rank")).withColumn("rank", F.col("rerank_rank"))
-    contexts = expansion.expand_parents(chosen, corpus.parents, limit=k)
+    # At most k rows per question go to the parents; the parents are not shuffled.
+    chosen = stage_few(chosen.drop("full_text", "query_text"), "chosen")
+    parents = corpus.parents.join(broadcast_checked(chosen.select("parent_id").distinct()), "parent_id", "left_semi")
+    contexts = expansion.expand_parents(chosen, parents, limit=k)
     r6 = lambda c: F.round(F.col(c), 6)
     return contexts.select(
         "query_id",

@@ -113,13 +113,16 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, salt_by: str, salts:
 
 
 @contextmanager
-def wide_rows(spark: SparkSession) -> Iterator[None]:
+def wide_rows(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
     """Jobs started inside move rows of several kB in batches bounded by bytes.
 
     By default 10,000 rows make an Arrow batch and 4096 a Parquet read, however
-    wide they are. All rows pass; only the pieces are smaller.
+    wide they are. All rows pass; only the pieces are smaller. Batches of scalar
+    UDFs are not bounded by bytes; ``rows`` bounds theirs.
     """
     bounds = {"spark.sql.execution.arrow.maxBytesPerBatch": WIDE_BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": WIDE_READ_ROWS}
+    if rows:
+        bounds["spark.sql.execution.arrow.maxRecordsPerBatch"] = rows
     before = {k: spark.conf.get(k) for k in bounds}
     try:
         for k, v in bounds.items():
@@ -142,6 +145,11 @@ def stage(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_few(df: DataFrame, name: str) -> DataFrame:
+    """``stage`` for few rows made by many tasks: they come in few files."""
+    return stage(df.hint("rebalance"), name)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash rows over all cores when the scan is planned in fewer tasks than cores.
 
